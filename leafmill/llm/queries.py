@@ -5,9 +5,31 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from leafmill.llm import decontam, simhash
-from leafmill.llm.common import bounded_batches, table
+from leafmill.llm import decontam, langid, mixing, simhash, toxicity
+from leafmill.llm.common import bounded_batches, held_out, table
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    documents = table(spark, sf_dir, "documents")
+    model = toxicity.fit(documents, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(documents, model, ["doc_id"])
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    documents = table(spark, sf_dir, "documents")
+    found = langid.identify(documents, langid.fit(documents), ["doc_id"])
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    mixed = mixing.sample(table(spark, sf_dir, "documents"), keep=["doc_id", "source", "lang"])
+    return mixed.select("doc_id", "source", "lang", *[F.col(f"_lm_{c}").alias(c) for c in ("topic", "tokens", "weight", "chance", "sampled")])
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +45,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_toxicity,
+        op3_language,
+        op6_mixing,
         op7_decontamination,
         op10_simhash,
     )
