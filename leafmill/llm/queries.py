@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import decontam, langid, mixing, simhash, toxicity
+from leafmill.llm import decontam, langid, mixing, pii, simhash, toxicity
 from leafmill.llm.common import bounded_batches, held_out, table
 
 
@@ -26,6 +26,10 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     mixed = mixing.sample(table(spark, sf_dir, "documents"), keep=["doc_id", "source", "lang"])
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_toxicity,
         op3_language,
+        op4_pii,
         op6_mixing,
         op7_decontamination,
         op10_simhash,
