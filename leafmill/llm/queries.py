@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import decontam, langid, mixing, pii, simhash, toxicity
+from leafmill.llm import decontam, langid, license, mixing, pii, simhash, toxicity, urlfilter
 from leafmill.llm.common import bounded_batches, held_out, table
 
 
@@ -41,6 +41,14 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op8_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), urlfilter.listed_table(spark)).drop("url")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     return simhash.components(table(spark, sf_dir, "documents"))
@@ -54,6 +62,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_pii,
         op6_mixing,
         op7_decontamination,
+        op8_license,
+        op9_urlfilter,
         op10_simhash,
     )
 }
@@ -75,4 +85,13 @@ items AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids FR
 SELECT doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(i.n, 0) AS BIGINT) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
 FROM doc LEFT JOIN hits h USING (r) LEFT JOIN items i USING (r)""",
+    "op9_urlfilter": f"""
+WITH parts AS (SELECT row_number() OVER () AS r, page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+page AS (SELECT r, page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*', 0)) + 1), '^[^?#]*', 0) AS path FROM parts),
+listed(host, path, action, is_rule) AS (VALUES {", ".join(f"('{k.split('/', 1)[0]}', '/{k.split('/', 1)[1]}', '{a}', true)" for a, k in urlfilter.RULES)},
+  {", ".join(f"('{x}.{d}', '/', 'block', false)" for x in urlfilter.SITES for d in urlfilter.DOMAINS)}),
+fits AS (SELECT r, l.host || l.path AS rule, action, is_rule, row_number() OVER (PARTITION BY r ORDER BY is_rule DESC, length(l.host || l.path) DESC) AS k
+         FROM page p JOIN listed l ON (p.host = l.host OR ends_with(p.host, '.' || l.host)) AND starts_with(p.path, l.path))
+SELECT page_id, host, path, CASE WHEN is_rule THEN rule END AS rule, coalesce(action, 'allow') AS verdict FROM page LEFT JOIN (SELECT * FROM fits WHERE k = 1) USING (r)""",
 }
