@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import decontam, langid, license, mixing, pii, simhash, toxicity, urlfilter
+from leafmill.llm import decontam, langid, license, mixing, ogg, pii, simhash, toxicity, urlfilter
 from leafmill.llm.common import bounded_batches, held_out, table
 
 
@@ -30,6 +30,11 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op5_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    return ogg.describe(ogg.store(table(spark, sf_dir, "documents"), ["doc_id"]), ["doc_id"])
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     mixed = mixing.sample(table(spark, sf_dir, "documents"), keep=["doc_id", "source", "lang"])
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_toxicity,
         op3_language,
         op4_pii,
+        op5_ogg,
         op6_mixing,
         op7_decontamination,
         op8_license,
