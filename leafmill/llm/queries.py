@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import decontam, langid, license, mixing, ogg, pii, simhash, toxicity, urlfilter
-from leafmill.llm.common import bounded_batches, held_out, table
+from leafmill.llm import decontam, langid, license, mixing, ogg, pii, simhash, toxicity, urlfilter, warc
+from leafmill.llm.common import bounded_batches, held_out, shared_dir, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,13 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    folder = f"{shared_dir(spark)}/warc"
+    manifest = warc.write(table(spark, sf_dir, "pages"), folder)
+    return warc.read(manifest, folder).drop("url")
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     documents = table(spark, sf_dir, "documents")
@@ -63,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_toxicity,
+        op2_warc,
         op3_language,
         op4_pii,
         op5_ogg,
@@ -77,6 +85,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLES: dict[str, str] = {
+    "op2_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+last AS (SELECT h, max(page_id) AS k FROM p WHERE octet_length(encode(h)) >= 1000 GROUP BY h)
+SELECT page_id, CAST(octet_length(encode(p.h)) AS BIGINT) AS payload_bytes, sha1(p.h) AS payload_digest,
+       CASE WHEN k IS NOT NULL AND k <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN k <> page_id THEN k END AS refers_to
+FROM p LEFT JOIN last ON p.h = last.h""",
     "op7_decontamination": f"""
 WITH item AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
 sized AS (SELECT item, w, least(10, len(w)) AS m FROM item WHERE len(w) > 0),
