@@ -34,6 +34,7 @@ BACKOFF = 0.4
 UNKNOWN = "und"
 #: Unknown words whose scores a worker remembers.
 _CACHE = 200_000
+_UNIT = 1 << 20
 
 #: a-z and all bytes beyond ASCII.
 LETTERS = np.zeros(256, dtype=bool)
@@ -114,9 +115,10 @@ class Model:
         one[back] = np.arange(len(back))  # some word with that hash
         for k in np.flatnonzero(~known).tolist():
             table[k] = self.unseen(w.word(one[k]))
-        total = np.zeros((len(back) + 1, len(self.langs)))
-        np.cumsum(table[back], axis=0, out=total[1:])
-        sums = total[w.first[1:]] - total[w.first[:-1]] + self.prior
+        # Whole multiples of a small unit, so that sums are exact and equal texts score equally wherever they stand.
+        total = np.zeros((len(back) + 1, len(self.langs)), dtype=np.int64)
+        np.cumsum(np.rint(table * _UNIT).astype(np.int64)[back], axis=0, out=total[1:])
+        sums = (total[w.first[1:]] - total[w.first[:-1]]) / _UNIT + self.prior
         # Words of a text are far from independent: the evidence counts as that of the square root of their number.
         calm = (sums - sums.max(axis=1, keepdims=True)) / np.sqrt(np.maximum(w.counts, 1))[:, None]
         share = np.exp(calm)

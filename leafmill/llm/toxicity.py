@@ -56,7 +56,8 @@ class Lexicon:
     def __post_init__(self) -> None:
         keys = _keys(self.words)
         order = np.argsort(keys)
-        self.keys, self.weight = keys[order], np.array(self.weights, dtype=float)[order]
+        # Whole multiples of a small unit, so that sums are exact and equal texts score equally wherever they stand.
+        self.keys, self.weight = keys[order], np.rint(np.array(self.weights, dtype=float)[order] * 1024) / 1024
         self.pronouns = np.sort(_keys(list(PRONOUNS)))
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
