@@ -1,7 +1,7 @@
 """Personal data: fixed base patterns, and spans that boosted trees pick among overlapping candidates. DataFrame functions only.
 
 Base spans (email, ip, card, phone) are all matches of their pattern that pass its check. High-recall generators propose further
-candidates: secrets, account and other long numbers, bank account codes and disguised e-mail addresses. Each candidate gets
+candidates: secrets, account and other long numbers, groups of digits inside longer runs, bank account codes and disguised e-mail addresses. Each candidate gets
 features of its format and of the words around it; gradient-boosted trees score them, and a candidate whose calibrated chance
 reaches its kind's threshold is a span, unless a base span covers part of it. The trees are fitted once in a session, on generated
 examples (TRAIN_ROWS, a fixed number) that pass through the same feature expressions, and are compiled to one Column.
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from leafmill.llm import boost
 
 BASE = ("email", "ip", "card", "phone")
-EXTRA = ("secret", "number", "iban", "address")
-TRAIN_ROWS = 1600
+EXTRA = ("secret", "number", "grouped", "iban", "address")
+TRAIN_ROWS = 1890
 #: Stand-ins for a dot inside a domain, for a separator inside a number, and for either where a text has them itself.
 _DOT, _SEP, _OTHER = "", "", ""
 _LOCAL = rf"A-Za-z0-9._%+{_DOT}\-"
@@ -37,6 +37,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 GENERATORS = {
     "secret": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,63}[0-9])[A-Za-z0-9+/_=-]{16,}+",
     "number": r"(?<![0-9])[0-9][0-9 ().-]{5,}[0-9]",
+    "grouped": r"(?<![0-9])(?:[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}|\(?[0-9]{3}\)?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4})(?![0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){10,30}(?![A-Za-z0-9])",
     "address": r"(?i)(?<![a-z0-9._-])[a-z0-9._-]{1,64}+ ?(?:\(at\)|\[at\]| at ) ?[a-z0-9-]{1,63}+ ?(?:\(dot\)|\[dot\]| dot ) ?[a-z]{2,24}",
 }
@@ -48,6 +49,7 @@ _NEEDS = {
     "phone": r"\+[0-9]",
     "secret": r"[0-9]",
     "number": r"[0-9][0-9 ().-]{5,}",
+    "grouped": r"[0-9][0-9 ().-]{8,}[0-9]",
     "iban": r"[A-Z]{2}[0-9]{2}",
     "address": r"(?i)[(\[ ]dot[)\] ]",
 }
@@ -171,6 +173,10 @@ def _examples(n: int, seed: int = 7) -> list[tuple[str, str, int]]:
             ("number", f"{some()} 20{pick(digit, 2)}-0{pick('123456789', 1)}-1{pick(digit, 1)}{end}", 0),
             ("number", f"{some()} {pick('123456789', r.randint(1, 3))}.{pick('123456789', r.randint(6, 9))}{end}", 0),
             ("number", f"{some()} {pick('123456789', r.randint(7, 8))}{end}", 0),
+            ("grouped", f"{some()} {pick('123456789', 4)} {group(pick('123456789', 16), 4, r.choice(['', ' ', '-']))}{end}", 1),
+            ("grouped", f"{some()} {number_word()} ({pick('23456789', 3)}) {pick(digit, 3)}-{pick(digit, 4)}{end}", 1),
+            ("grouped", f"{some()} {plain_word()} {group(pick('123456789', 16), 4, '-')}{end}", 0),
+            ("grouped", f"{some()} {plain_word()} {pick('123456789', 3)}.{pick('123456789', 3)}.{pick('123456789', 4)}{end}", 0),
             ("iban", f"{some()} {r.choice(['DE', 'FR', 'ES', 'GB', 'NL'])}{pick(digit, 2)}{r.choice(['', ' '])}{group(pick(digit, r.choice([16, 18, 20])), 4, r.choice(['', ' ']))}{end}", 1),
             ("iban", f"{some()} {number_word()} {pick(low.upper(), 2)}{pick(digit, 2)}{pick(digit, 18)}{end}", 1),
             ("iban", f"{some()} {pick(low.upper(), 2)}{pick(digit, 2)}{pick(low.upper(), 14)}{end}", 0),
@@ -199,7 +205,7 @@ def fit(spark: SparkSession, n: int = TRAIN_ROWS, precision: float = 0.5) -> tup
             x.append(list(c.f))
             y.append(float(row.label))
             kinds.append(row.kind)
-            cal.append(row.i // 23 % 3 == 0)
+            cal.append(row.i // 27 % 3 == 0)
     x, y, cal, kinds = np.array(x), np.array(y), np.array(cal), np.array(kinds)
     model = boost.fit(x[~cal], y[~cal], x[cal], y[cal], trees=30, depth=4)
     raw = model.raw(x)
