@@ -58,10 +58,14 @@ def _rows(pages: DataFrame, record_id: str, url: str, payload: str) -> DataFrame
 
 
 def classified(rows: DataFrame) -> DataFrame:
-    """rows with digest, record_type and refers_to. Sizes and digests are grouped before they meet the rows."""
+    """rows with digest, record_type and refers_to.
+
+    Digests are grouped and those that repeat are written first, so that Spark knows their size when it plans the join and moves
+    payloads for it only if they are many.
+    """
     rows = rows.withColumns({"digest": F.sha1("payload"), "same": F.sha2("payload", 256)})
     last = rows.where(F.col("n") >= REVISIT_FROM).groupBy("same").agg(F.max("id").alias("last"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    got = rows.join(last, "same", "left").drop("same")
+    got = rows.join(materialize(last), "same", "left").drop("same")
     revisit = F.col("last").isNotNull() & ~F.col("id").eqNullSafe(F.col("last"))
     return got.withColumns({"record_type": F.when(revisit, "revisit").otherwise("response"), "refers_to": F.when(revisit, F.col("last"))}).drop("last")
 
