@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.plans.session import importable
+
 #: Rows in one Arrow batch. Texts are long, so Spark's default of 10,000 rows would not fit a worker.
 ARROW_ROWS = 512
 #: Bytes of text that a Python worker works on at once; a longer single text is a slice of its own.
@@ -21,7 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound the rows that travel to Python at once."""
+    """Bound the rows that travel to Python at once, and let workers import this package."""
+    importable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
