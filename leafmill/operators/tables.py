@@ -102,7 +102,7 @@ def markdown(cells: DataFrame) -> DataFrame:
     grid = grid.groupBy(*TABLE, "row", "col").agg(F.max_by("_t", F.struct("row_start", "col_start")).alias("_t"))
     ends = cells.groupBy(*TABLE).agg(F.max("col_start").alias("last"), F.max(F.when(F.col("table_cell_role") == "header", F.col("row_start"))).alias("rule"))
     rows = grid.groupBy(*TABLE, "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "_t"))).alias("m")).join(ends, [*TABLE])
-    line = F.concat(F.lit("| "), F.array_join(F.transform(F.sequence(F.lit(0), F.col("last").cast("int")), lambda c: F.coalesce(F.element_at("m", c), F.lit(""))), " | "), F.lit(" |"))
+    line = F.concat(F.lit("| "), F.array_join(F.transform(F.sequence(F.lit(0), F.col("last").cast("int")), lambda c: F.coalesce(F.try_element_at("m", c), F.lit(""))), " | "), F.lit(" |"))
     rule = F.concat(F.lit("|"), F.array_join(F.array_repeat(F.lit("---"), F.col("last").cast("int") + 1), "|"), F.lit("|"))
     rows = rows.withColumn("line", F.when(F.col("row") == F.col("rule"), F.concat(line, F.lit("\n"), rule)).otherwise(line))
     return rows.groupBy(*TABLE).agg(F.array_join(F.transform(_ordered("row", "line"), lambda x: x["line"]), "\n").alias("text"))

@@ -34,6 +34,13 @@ scored AS (SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf
   FROM asked JOIN tf USING (term) JOIN df USING (term) JOIN tok USING (doc_id), st GROUP BY ALL)"""
 _GRID = """o AS (SELECT CAST(c_nationkey AS BIGINT) AS table_id, year(o_orderdate) AS y, o_orderpriority AS p, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)"""
 
+_TREE = """h AS (SELECT CAST(r_regionkey AS BIGINT) AS id, NULL AS up, r_name AS name FROM region UNION ALL SELECT 100 + n_nationkey, n_regionkey, n_name FROM nation UNION ALL SELECT 1000 + s_suppkey, 100 + s_nationkey, s_name FROM supplier),
+p AS (SELECT a.id, a.name, CASE WHEN b.id IS NULL THEN 1 WHEN c.id IS NULL THEN 2 ELSE 3 END AS depth, concat_ws(' > ', c.name, b.name, a.name) AS path, list_filter([c.id, b.id, a.id], lambda x: x IS NOT NULL) AS ids,
+  CASE WHEN b.id IS NULL THEN '# ' || a.name WHEN c.id IS NULL THEN '# ' || b.name || chr(10) || '## ' || a.name ELSE '# ' || c.name || chr(10) || '## ' || b.name || chr(10) || '### ' || a.name END AS crumb
+  FROM h a LEFT JOIN h b ON a.up = b.id LEFT JOIN h c ON b.up = c.id)"""
+_WORDS = """w AS (SELECT CAST(l_orderkey % 50 AS BIGINT) AS doc_id, CAST(l_suppkey % 20 AS BIGINT) AS page_number, CAST(l_orderkey AS BIGINT) * 10 + l_linenumber AS word_id, CAST(l_partkey % 500 AS DOUBLE) AS x0, CAST((l_orderkey * 7 + l_linenumber * 13) % 700 AS DOUBLE) AS y0, x0 + CAST(l_quantity AS DOUBLE) + 1 AS x1, y0 + 10 AS y1 FROM lineitem),
+l AS (SELECT CAST(p_partkey % 50 AS BIGINT) AS doc_id, CAST(p_partkey % 20 AS BIGINT) AS page_number, CAST(p_partkey AS BIGINT) AS link_id, CAST(p_partkey * 31 % 450 AS DOUBLE) AS x0, CAST(p_partkey * 17 % 650 AS DOUBLE) AS y0, x0 + 80 AS x1, y0 + 40 AS y1 FROM part WHERE p_partkey <= 2000)"""
+
 ORACLES: dict[str, str] = {
     "doc_lines": f"WITH {LINES} SELECT doc_id, ord, text FROM line",
     "line_features": rf"""WITH {LINES} SELECT doc_id, ord, CAST(length(text) AS BIGINT) AS char_count, CAST(len(regexp_extract_all(text, '\p{{L}}')) AS BIGINT) AS alpha_count, CAST(len(regexp_extract_all(text, '\p{{Nd}}')) AS BIGINT) AS digit_count,
@@ -73,4 +80,36 @@ ORACLES: dict[str, str] = {
         SELECT table_id, string_agg(l, chr(10) ORDER BY p) AS text FROM b GROUP BY table_id""",
     "chart_points": """WITH e AS (SELECT event_type AS series_name, CAST(hour(ts) AS VARCHAR) AS category, CAST(count(*) AS DOUBLE) AS value FROM events GROUP BY ALL)
         SELECT *, round(100 * value / sum(value) OVER (PARTITION BY series_name), 1) AS percent FROM e""",
+    "page_metadata": r"""SELECT page_id AS doc_id, replace(replace(replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title, coalesce(nullif(lower(regexp_extract(html, '<html lang="([A-Za-z]{2})', 1)), ''), 'unknown') AS language FROM pages""",
+    "marker_candidates": f"""WITH {LINES} SELECT doc_id, ord, ['item','single_parens_single_alpha','single_parens_roman','numbered_heading','section','alpha_numbered_heading','table',NULL,NULL][ord % 9 + 1] AS hierarchy_type,
+        ['Item','(a)','(iv)','12.3','Section','B.2','Table',NULL,NULL][ord % 9 + 1] AS hierarchy_marker FROM line""",
+    "heading_score": rf"""WITH {LINES}, f AS (SELECT doc_id, ord, length(text) AS c, len(regexp_extract_all(text, '[A-Z]')) AS u, len(regexp_extract_all(text, '\S+')) AS w, len(list_filter(regexp_extract_all(text, '\S+'), lambda x: regexp_matches(x, '^\p{{Lu}}'))) AS cap FROM line),
+        g AS (SELECT *, round(0.7 + (c % 10) / 10, 1) AS r, CAST(c % 25 AS DOUBLE) AS gap, lead(CAST(c % 25 AS DOUBLE)) OVER (PARTITION BY doc_id ORDER BY ord) AS below, count(*) OVER (PARTITION BY doc_id, ord // 3) AS n FROM f)
+        SELECT doc_id, ord, CASE WHEN r >= 1.4 THEN 3.0 WHEN r >= 1.2 THEN 2.0 WHEN r >= 1.01 THEN 1.0 WHEN r < 0.75 THEN -6.0 WHEN r < 0.95 THEN -1.0 ELSE 0.0 END + CASE WHEN c < 50 THEN 0.5 ELSE 0 END - CASE WHEN c > 100 THEN 1 ELSE 0 END - CASE WHEN c > 150 THEN 1.5 ELSE 0 END
+        - CASE WHEN c > 250 THEN 3 ELSE 0 END - CASE WHEN c > 2000 THEN 2 ELSE 0 END + CASE WHEN cap / nullif(w, 0) > 0.75 THEN 0.5 ELSE 0 END + CASE WHEN ord % 3 = 0 THEN 2.5 ELSE 0 END + CASE WHEN ord % 5 = 0 THEN 1.5 ELSE 0 END + CASE WHEN ord % 11 = 0 THEN 1.5 ELSE 0 END
+        + CASE WHEN u > 50 THEN 1 ELSE 0 END + CASE WHEN c % 4 = 0 THEN 1 ELSE 0 END + CASE WHEN c % 9 = 0 THEN 1 ELSE 0 END - CASE WHEN ord % 7 = 0 THEN 5 ELSE 0 END - CASE WHEN gap > 0 AND gap <= 0.5 THEN 5 ELSE 0 END - CASE WHEN gap > 0.5 AND gap < 2 THEN 2 ELSE 0 END
+        - CASE WHEN gap > 0 AND below > 0 AND gap < below THEN 0.5 ELSE 0 END + CASE WHEN gap > 0 AND below > 0 AND gap > below AND gap BETWEEN 6 AND 20 THEN 0.5 ELSE 0 END - CASE WHEN n >= 4 THEN 2 ELSE 0 END AS score FROM g""",
+    "context_adjustment": f"""WITH {LINES}, k AS (SELECT doc_id, ord, concat_ws('|', ord % 3 = 0, ord % 5 = 0, ord % 11 = 0, CASE WHEN length(text) % 6 = 0 THEN 'note' ELSE '-' END, length(text) % 10) AS s FROM line),
+        n AS (SELECT *, coalesce(lag(s, 2) OVER w = s, false) AS p2, coalesce(lag(s) OVER w = s, false) AS p1, coalesce(lead(s) OVER w = s, false) AS n1, coalesce(lead(s, 2) OVER w = s, false) AS n2 FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY ord))
+        SELECT doc_id, ord, CASE WHEN (p1 AND p2) OR (p1 AND n1) OR (n1 AND n2) THEN -2.0 ELSE 0.0 END + CASE WHEN NOT (p1 OR p2 OR n1 OR n2) THEN 1.0 ELSE 0.0 END AS adjustment FROM n""",
+    "navigation_lines": f"""WITH {LINES}, f AS (SELECT doc_id, ord, split_part(text, ' ', 1) AS t FROM line WHERE ord % 2 = 0), k AS (SELECT doc_id, t FROM f GROUP BY ALL HAVING count(DISTINCT ord // 10) >= 3) SELECT doc_id, ord, t AS text FROM f JOIN k USING (doc_id, t)""",
+    "event_pages": """SELECT user_id AS doc_id, event_id AS ord, CAST(1 + coalesce(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS page_number FROM events""",
+    "heading_paths": f"""WITH {_TREE} SELECT id AS heading_id, depth, path, crumb AS breadcrumb FROM p""",
+    "outline_costs": f"""WITH {_TREE}, s AS (SELECT 1000 + s_suppkey AS id, length(s_name) * 37 AS n FROM supplier), t AS (SELECT p.id, CAST(coalesce(sum(s.n), 0) AS BIGINT) AS tokens FROM p LEFT JOIN p q ON list_contains(q.ids, p.id) LEFT JOIN s ON s.id = q.id GROUP BY p.id)
+        SELECT p.id AS heading_id, tokens, repeat('  ', depth - 1) || '- ' || name || '  ~' || CASE WHEN tokens >= 10000 THEN CAST(CAST(round_even(tokens / 1000, 0) AS BIGINT) AS VARCHAR) || 'k' WHEN tokens >= 1000 THEN format('{{:.1f}}', tokens / 1000) || 'k' ELSE CAST(tokens AS VARCHAR) END AS line FROM p JOIN t USING (id)""",
+    "blocks_under": "SELECT CAST(1000 + s_suppkey AS BIGINT) AS heading_id, CAST(length(s_name) * 37 AS BIGINT) AS token_count FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'",
+    "found_headings": f"""WITH {_TREE}, f AS (SELECT * FROM p WHERE contains(lower(name), 'ia')) SELECT id AS heading_id, name AS text FROM f WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.id <> f.id AND list_contains(f.ids, g.id))""",
+    "word_links": f"""WITH {_WORDS}, j AS (SELECT w.doc_id, w.page_number, word_id, link_id, (least(w.x1, l.x1) - greatest(w.x0, l.x0)) * (least(w.y1, l.y1) - greatest(w.y0, l.y0)) / ((w.x1 - w.x0) * (w.y1 - w.y0)) AS ratio FROM w JOIN l ON w.doc_id = l.doc_id AND w.page_number = l.page_number AND least(w.x1, l.x1) > greatest(w.x0, l.x0) AND least(w.y1, l.y1) > greatest(w.y0, l.y0))
+        SELECT doc_id, page_number, word_id, link_id, round(ratio, 6) AS ratio FROM (SELECT *, row_number() OVER (PARTITION BY word_id, doc_id, page_number ORDER BY ratio DESC, link_id) AS k FROM j WHERE ratio >= 0.5) WHERE k = 1""",
+    "words_in_cells": f"""WITH {_WORDS} SELECT w.doc_id, w.page_number, word_id, min(link_id) AS link_id FROM w JOIN l ON w.doc_id = l.doc_id AND w.page_number = l.page_number AND w.x0 >= l.x0 - 1 AND w.x1 <= l.x1 + 1 AND w.y0 >= l.y0 - 1 AND w.y1 <= l.y1 + 1 GROUP BY ALL""",
+    "word_lines": f"""WITH {_WORDS}, j AS (SELECT *, CASE WHEN y0 - lag(y0) OVER o <= 5 THEN 0 ELSE 1 END AS s FROM w WINDOW o AS (PARTITION BY doc_id, page_number ORDER BY y0, x0, word_id))
+        SELECT doc_id, page_number, word_id, CAST(sum(s) OVER (PARTITION BY doc_id, page_number ORDER BY y0, x0, word_id) AS BIGINT) AS line_id FROM j""",
+    "line_gaps": f"""WITH {_WORDS}, j AS (SELECT *, CASE WHEN y0 - lag(y0) OVER o <= 5 THEN 0 ELSE 1 END AS s FROM w WINDOW o AS (PARTITION BY doc_id, page_number ORDER BY y0, x0, word_id)),
+        n AS (SELECT *, CAST(sum(s) OVER (PARTITION BY doc_id, page_number ORDER BY y0, x0, word_id) AS BIGINT) AS line_id FROM j), g AS (SELECT *, x0 - lag(x1) OVER (PARTITION BY doc_id, page_number, line_id ORDER BY x0, word_id) AS gap FROM n)
+        SELECT doc_id, page_number, line_id, CAST(count(*) AS BIGINT) AS n_words, median(gap) AS median_gap, max(gap) AS widest_gap, coalesce(median(gap) > 0 AND max(gap) >= 3 * median(gap), false) AS bimodal FROM g GROUP BY ALL""",
+    "language_votes": r"""WITH w AS (SELECT doc_id, length(text) AS n, regexp_extract_all(lower(substr(text, 1, 10000)), '\p{L}+') AS w FROM documents),
+        v AS (SELECT doc_id, n, code, len(list_filter(w, lambda x: list_contains(own, x))) AS k FROM w, (VALUES ('de', ['der','die','das','und','nicht','ist','mit','von','ein','zu']), ('en', ['the','and','of','to','in','is','that','it','for','with']), ('es', ['el','la','los','de','que','y','en','un','por','con']), ('fr', ['le','la','les','et','des','que','est','pour','dans','un'])) AS t(code, own))
+        SELECT doc_id, CASE WHEN n >= 50 AND k > 0 THEN code ELSE 'unknown' END AS language, CAST(k AS BIGINT) AS votes FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k DESC, code) AS r FROM v) WHERE r = 1""",
+    "first_titles": rf"""WITH {LINES} SELECT doc_id, arg_min({_STRIP}, ord) AS title FROM line WHERE length({_STRIP}) > 5 GROUP BY doc_id""",
+    "markdown_export": f"""WITH {BLOCKS} SELECT doc_id, string_agg('<!-- page ' || block_id || ' -->' || chr(10) || chr(10) || CASE WHEN block_id = 1 THEN '## ' ELSE '' END || trim(text), chr(10) || chr(10) ORDER BY ord) AS text FROM block WHERE trim(text) <> '' GROUP BY doc_id""",
 }

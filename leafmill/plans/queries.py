@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as tx
-from leafmill.operators import blocks, chunks, retrieve, rollup, tables
+from leafmill.operators import blocks, chunks, export, geometry, headings, hierarchy, metadata, retrieve, rollup, structure, tables
 from leafmill.plans.staging import staged
+from leafmill.sources import pages as html
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -164,7 +165,212 @@ def chart_formats(spark, sf_dir):
     return made[0].unionByName(made[1]).unionByName(made[2])
 
 
+# Pages.
+
+
+def _parsed(spark, sf_dir):
+    return staged(html.parse(_table(spark, sf_dir, "pages")))
+
+
+def _page_lines(spark, sf_dir):
+    return html.lines(html.without_furniture(html.boxes(_parsed(spark, sf_dir))))
+
+
+def page_boxes(spark, sf_dir):
+    b = html.boxes(_parsed(spark, sf_dir))
+    return b.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_boxes"), F.sum(F.when(F.array_contains("ancestors", "a"), 1).otherwise(0)).alias("n_links"), F.max(F.when(F.array_contains("ancestors", "h1"), F.col("text"))).alias("h1"))
+
+
+def page_metadata(spark, sf_dir):
+    return html.metadata(_parsed(spark, sf_dir)).select("doc_id", "title", "language")
+
+
+def page_lines(spark, sf_dir):
+    return _page_lines(spark, sf_dir).select("doc_id", "ord", "text", "block_type", F.round("font_size_ratio", 6).alias("font_size_ratio"), "is_bold")
+
+
+def _page_headings(spark, sf_dir):
+    return staged(headings.detect(structure.mark_exhibits(structure.mark_toc(structure.mark_navigation(structure.complete(_page_lines(spark, sf_dir)))))))
+
+
+def page_headings(spark, sf_dir):
+    found = _page_headings(spark, sf_dir)
+    placed = hierarchy.tree(found)
+    return found.where("heading_id IS NOT NULL").join(placed, ["doc_id", "heading_id"]).select("doc_id", "ord", "heading_id", "parent_heading_id", "heading_level", "heading_type", "text")
+
+
+def page_chunks(spark, sf_dir):
+    found = _page_headings(spark, sf_dir)
+    placed = hierarchy.tree(found).select("doc_id", "heading_id", "parent_heading_id", F.col("heading_level").cast("long").alias("heading_level"))
+    made = blocks.with_block_id(found.withColumn("layout_id", F.coalesce("layout_id", F.col("ord"))))
+    merged = made.groupBy("doc_id", "block_id").agg(F.min("ord").alias("ord"), F.min_by("block_type", "ord").alias("block_type"), F.min_by("heading_id", "ord").alias("heading_id"), rollup.ordered_join(tx.strip("text"), F.col("ord"), blocks.separator(F.col("text"))).alias("text"))
+    got = chunks.build(merged.join(placed, ["doc_id", "heading_id"], "left"))
+    return got.select("doc_id", "chunk_index", "chunk_heading", "heading_id", "embed_char_count", "text")
+
+
+# Structure.
+
+_OPENINGS = ("Item 4. ", "(a) ", "(iv) ", "12.3 ", "Section 2 ", "B.2 ", "Table 7 ", "2020 ", "")
+
+
+def marker_candidates(spark, sf_dir):
+    """Lines that are given openings in turn, with the marker that is found."""
+    lead = F.get(F.array(*[F.lit(x) for x in _OPENINGS]), (F.col("ord") % len(_OPENINGS)).cast("int"))
+    df = _lines(spark, sf_dir).withColumn("text", F.concat(lead, F.lit("Word "), F.regexp_replace("text", "[^a-z ]", "")))
+    return headings.with_markers(df).select("doc_id", "ord", "hierarchy_type", "hierarchy_marker")
+
+
+def _styled(spark, sf_dir):
+    df = blocks.with_features(_lines(spark, sf_dir))
+    c = F.col("char_count")
+    style = {"font_size_ratio": F.round(0.7 + (c % 10) / 10, 1), "is_bold": F.col("ord") % 3 == 0, "is_italic": F.col("ord") % 5 == 0, "is_underlined": F.col("ord") % 11 == 0, "is_uppercase": F.col("uppercase_count") > 50, "text_align": F.when(c % 4 == 0, "center"), "has_link": F.col("ord") % 7 == 0, "line_gap": (c % 25).cast("double"), "layout_id": F.floor(F.col("ord") / 3), "hierarchy_type": F.when(c % 6 == 0, "note"), "hierarchy_marker": F.when(c % 6 == 0, "1.2.3").otherwise(""), "font_family": F.lit("f"), "non_stroking_color": F.when(c % 9 == 0, "#aa0000")}
+    return df.withColumns(style)
+
+
+def heading_score(spark, sf_dir):
+    """The score of each line by itself, with styles made from its length and place."""
+    df = _styled(spark, sf_dir)
+    w = Window.partitionBy("doc_id").orderBy("ord")
+    df = df.withColumns({"_below": F.lead("line_gap").over(w), "_n": F.count(F.lit(1)).over(Window.partitionBy("doc_id", "layout_id"))})
+    return df.select("doc_id", "ord", headings.base_score(F.lit("#000000"), F.col("_below"), F.col("_n")).alias("score"))
+
+
+def context_adjustment(spark, sf_dir):
+    return _styled(spark, sf_dir).select("doc_id", "ord", headings._context().alias("adjustment"))
+
+
+def document_headings(spark, sf_dir):
+    """Headings among lines with styles made from their length and place, with their tree."""
+    found = staged(headings.detect(_styled(spark, sf_dir).drop("hierarchy_type", "hierarchy_marker")))
+    placed = hierarchy.tree(found)
+    return found.where("heading_id IS NOT NULL").join(placed, ["doc_id", "heading_id"]).select("doc_id", "ord", "heading_id", "parent_heading_id", "heading_level", "heading_type", "heading_score")
+
+
+def navigation_lines(spark, sf_dir):
+    """Links that stand on at least three pages: first words of lines, as links within ten lines a page."""
+    df = _lines(spark, sf_dir).select("doc_id", "ord", F.substring_index("text", " ", 1).alias("text"), F.floor(F.col("ord") / 10).alias("page_number"), F.when(F.col("ord") % 2 == 0, "internal").alias("link_type"), F.lit(None).cast("string").alias("block_type"))
+    return structure.mark_navigation(df).where("block_type = 'navigation'").select("doc_id", "ord", "text")
+
+
+def contents_rows(spark, sf_dir):
+    """Lines with a table of contents in front: rows that are found as such, and their heading."""
+    base = _lines(spark, sf_dir).withColumn("text", F.regexp_replace("text", r"[$|.]", ""))
+    rows = base.where((F.col("ord") <= 6) & (F.length("text") > 20)).select("doc_id", (F.col("ord") + 1).alias("ord"), F.concat(F.substring("text", 1, 20), F.lit(" ...... "), F.col("ord") * 3).alias("text"))
+    head = base.select("doc_id").distinct().select("doc_id", F.lit(1).cast("long").alias("ord"), F.lit("Table of Contents").alias("text"))
+    body = base.select("doc_id", (F.col("ord") + 100).alias("ord"), "text")
+    dense = Window.partitionBy("doc_id").orderBy("ord")
+    df = head.unionByName(rows).unionByName(body).withColumn("ord", F.row_number().over(dense).cast("long"))
+    return structure.mark_toc(df).where("block_type IN ('toc', 'toc_heading')").select("doc_id", "ord", "block_type")
+
+
+def page_sections(spark, sf_dir):
+    """Conversations as paged documents: turns are pages, labelled i, ii, 1, 2 and F-1 by place."""
+    c = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).alias("page_number"), "text").groupBy("doc_id", "page_number").agg(F.max("text").alias("text"))
+    k = F.col("page_number")
+    label = F.when(k == 1, None).when(k == 2, "i").when(k == 3, "ii").when(k <= 7, (k - 3).cast("string")).otherwise(F.concat(F.lit("F-"), k - 7))
+    df = c.withColumns({"ord": k, "page_label": label, "block_type": F.lit(None).cast("string"), "text_align": F.lit(None).cast("string")})
+    return structure.sections(structure.page_index(df)).select("doc_id", "page_number", "section_no", "section")
+
+
+def event_pages(spark, sf_dir):
+    """Events of a user as lines: a page ends at each purchase."""
+    e = _table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("ord"), F.lit(None).cast("string").alias("page_label"), F.when(F.col("event_type") == "purchase", "hr").alias("block_type"))
+    return structure.infer_pages(e).select("doc_id", "ord", "page_number")
+
+
+# Trees: regions, nations and suppliers as headings of one document.
+
+
+def _tree(spark, sf_dir):
+    r = _table(spark, sf_dir, "region").selectExpr("1L AS doc_id", "CAST(r_regionkey AS BIGINT) AS heading_id", "CAST(NULL AS BIGINT) AS parent_heading_id", "r_name AS text")
+    n = _table(spark, sf_dir, "nation").selectExpr("1L AS doc_id", "100L + n_nationkey AS heading_id", "CAST(n_regionkey AS BIGINT) AS parent_heading_id", "n_name AS text")
+    s = _table(spark, sf_dir, "supplier").selectExpr("1L AS doc_id", "1000L + s_suppkey AS heading_id", "100L + s_nationkey AS parent_heading_id", "s_name AS text")
+    return r.unionByName(n).unionByName(s).withColumn("ord", F.col("heading_id"))
+
+
+def _tree_blocks(spark, sf_dir):
+    return _table(spark, sf_dir, "supplier").selectExpr("1L AS doc_id", "1000L + s_suppkey AS heading_id", "CAST(length(s_name) * 37 AS BIGINT) AS token_count")
+
+
+def heading_paths(spark, sf_dir):
+    p = retrieve.with_paths(_tree(spark, sf_dir))
+    return p.select("heading_id", "depth", F.array_join("path", " > ").alias("path"), retrieve.breadcrumb(F.col("path")).alias("breadcrumb"))
+
+
+def outline_costs(spark, sf_dir):
+    p = retrieve.outline_costs(retrieve.with_paths(_tree(spark, sf_dir)), _tree_blocks(spark, sf_dir))
+    return p.select("heading_id", "tokens", "line")
+
+
+def blocks_under(spark, sf_dir):
+    p = retrieve.with_paths(_tree(spark, sf_dir))
+    return retrieve.under(_tree_blocks(spark, sf_dir), p, retrieve.resolve(p, "ASIA")).select("heading_id", "token_count")
+
+
+def found_headings(spark, sf_dir):
+    p = retrieve.with_paths(_tree(spark, sf_dir))
+    return retrieve.drop_nested(retrieve.find_heading(p, "ia")).select("heading_id", "text")
+
+
+# Geometry: lines of orders as words on pages.
+
+
+def _words(spark, sf_dir):
+    li = _table(spark, sf_dir, "lineitem")
+    return li.selectExpr("CAST(l_orderkey % 50 AS BIGINT) AS doc_id", "CAST(l_suppkey % 20 AS BIGINT) AS page_number", "CAST(l_orderkey AS BIGINT) * 10 + l_linenumber AS word_id", "CAST(l_partkey % 500 AS DOUBLE) AS x_left", "CAST((l_orderkey * 7 + l_linenumber * 13) % 700 AS DOUBLE) AS y_top", "CAST(l_quantity AS DOUBLE) AS width").withColumns({"x_right": F.col("x_left") + F.col("width") + 1, "y_bottom": F.col("y_top") + 10, "font_size": F.lit(10.0), "text": F.lit("w")})
+
+
+def _links(spark, sf_dir):
+    p = _table(spark, sf_dir, "part").where("p_partkey <= 2000")
+    return p.selectExpr("CAST(p_partkey % 50 AS BIGINT) AS doc_id", "CAST(p_partkey % 20 AS BIGINT) AS page_number", "CAST(p_partkey AS BIGINT) AS link_id", "CAST(p_partkey * 31 % 450 AS DOUBLE) AS x_left", "CAST(p_partkey * 17 % 650 AS DOUBLE) AS y_top").withColumns({"x_right": F.col("x_left") + 80, "y_bottom": F.col("y_top") + 40})
+
+
+def word_links(spark, sf_dir):
+    return geometry.overlap(_words(spark, sf_dir), _links(spark, sf_dir), "link_id").withColumn("ratio", F.round("ratio", 6))
+
+
+def words_in_cells(spark, sf_dir):
+    return geometry.contained(_words(spark, sf_dir), _links(spark, sf_dir), "link_id")
+
+
+def word_lines(spark, sf_dir):
+    return geometry.with_line_id(_words(spark, sf_dir)).select("doc_id", "page_number", "word_id", "line_id")
+
+
+def line_gaps(spark, sf_dir):
+    g = geometry.gap_statistics(geometry.with_line_id(_words(spark, sf_dir)))
+    return g.select("doc_id", "page_number", "line_id", "n_words", "median_gap", "widest_gap", "bimodal")
+
+
+def page_reading_order(spark, sf_dir):
+    return geometry.reading_order(_links(spark, sf_dir), "link_id")
+
+
+# Metadata and exports.
+
+
+def language_votes(spark, sf_dir):
+    return metadata.language_vote(_table(spark, sf_dir, "documents"))
+
+
+def first_titles(spark, sf_dir):
+    """The longest-set line near the start; all lines are set alike, so it is the first of more than five characters."""
+    df = _lines(spark, sf_dir).withColumns({"page_number": F.lit(1), "font_size": F.lit(10.0)})
+    return metadata.title_from_text(df)
+
+
+def markdown_export(spark, sf_dir):
+    b = _plain_blocks(spark, sf_dir).withColumns({"block_type": F.when(F.col("block_id") == 1, "heading").otherwise("paragraph"), "heading_level": F.lit(None).cast("int"), "page_number": F.col("block_id")})
+    return export.markdown(b)
+
+
+def rollup_policies(spark, sf_dir):
+    return rollup.explain(spark, [*rollup.REGISTRY, "is_x", "page_x", "x_count", "x_ratio", "_x", "x"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (doc_lines, line_features, line_masks, cell_values, block_text, document_rollup, greedy_chunks, document_chunks, chunk_bounds, token_totals, bm25_scores, search_top, search_snippets, unmatched_terms, table_roles, table_melted, table_markdown, table_jsonl, chart_points, chart_formats)
+    for f in (doc_lines, line_features, line_masks, cell_values, block_text, document_rollup, greedy_chunks, document_chunks, chunk_bounds, token_totals, bm25_scores, search_top, search_snippets, unmatched_terms, table_roles, table_melted, table_markdown, table_jsonl, chart_points, chart_formats,
+              page_boxes, page_metadata, page_lines, page_headings, page_chunks, marker_candidates, heading_score, context_adjustment, document_headings, navigation_lines, contents_rows, page_sections, event_pages,
+              heading_paths, outline_costs, blocks_under, found_headings, word_links, words_in_cells, word_lines, line_gaps, page_reading_order, language_votes, first_titles, markdown_export, rollup_policies)
 }
