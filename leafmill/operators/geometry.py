@@ -83,7 +83,7 @@ def with_anchored_line_id(words: DataFrame, tolerance: float = 5.0, wide: float
 
 def with_gaps(words: DataFrame) -> DataFrame:
     """gap to the word before on the line, and gap_em, the same in font sizes."""
-    w = Window.partitionBy(*PAGE, "line_id").orderBy("x_left", "word_id")
+    w = Window.partitionBy(*PAGE, "line_id").orderBy("x_left", "word_id", "x_right")
     gap = F.col("x_left") - F.lag("x_right").over(w)
     return words.withColumns({"gap": gap, "gap_em": gap / F.nullif(F.col("font_size"), F.lit(0.0)) if "font_size" in words.columns else F.lit(None).cast("double")})
 

@@ -55,8 +55,8 @@ def literal_pattern(query: Column) -> Column:
 
 
 def literal_hits(chunks: DataFrame, queries: DataFrame, corpus: list[str], key: str = "chunk_index") -> DataFrame:
-    """query_id, corpus columns and key of chunks that hold a query as it stands. A chunk must share the query's longest term, so candidates come from a join."""
-    q = queries.withColumn("_terms", tx.search_terms("text")).withColumn("term", F.element_at(F.array_sort(F.transform("_terms", lambda t: F.struct((-F.length(t)).alias("l"), t.alias("t")))), 1)["t"])
+    """query_id, corpus columns and key of chunks that hold a query as it stands. A chunk must share the query's longest term, so candidates come from a join; a query of stop words alone has none."""
+    q = queries.withColumn("_terms", tx.search_terms("text")).withColumn("term", F.get(F.array_sort(F.transform("_terms", lambda t: F.struct((-F.length(t)).alias("l"), t.alias("t")))), F.lit(0))["t"])
     held = chunks.select(*corpus, key, "text", F.explode(F.array_distinct(tx.search_terms("text"))).alias("term"))
     q = q.where("term IS NOT NULL").select("query_id", "term", F.col("text").alias("_query"))
     return held.join(q, "term").where(F.regexp_like(F.col("text"), literal_pattern(F.col("_query")))).select("query_id", *corpus, key)

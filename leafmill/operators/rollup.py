@@ -65,13 +65,13 @@ def compiled(policy: Override, c: Column, ord: Column, weight: Column, kind: T.D
     """The aggregate expression of a policy for column c in the order of ord."""
     if not isinstance(policy, Agg):
         return policy(c, ord)
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(ord.alias("o"), c.alias("v")))), lambda x: x["v"])
     if policy is Agg.FIRST:
         return F.min_by(c, F.when(c.isNotNull(), ord))
     if policy is Agg.ANY:
         return F.coalesce(F.bool_or(c), F.lit(False))
     if policy is Agg.DOMINANT:
         return F.max_by(c, F.struct(F.coalesce(weight, F.lit(0)), -ord))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(ord.alias("o"), c.alias("v")))), lambda x: x["v"]) if policy in (Agg.LIST, Agg.UNIQUE_LIST) else None
     if policy is Agg.LIST:
         return ordered
     if policy is Agg.SORTED_UNIQUE_LIST:
@@ -81,9 +81,10 @@ def compiled(policy: Override, c: Column, ord: Column, weight: Column, kind: T.D
         distinct = F.filter(F.array_distinct(lists), lambda v: v.isNotNull() & (v.cast("string") != ""))
         return F.when(F.size(distinct) > 0, distinct)
     if policy is Agg.MERGE_MAPS:
-        entries = F.flatten(F.transform(F.filter(ordered, lambda v: v.isNotNull()), F.map_entries))
-        last = F.transform(F.map_keys(F.map_from_entries(F.transform(F.array_distinct(F.transform(entries, lambda e: e["key"])), lambda k: F.struct(k.alias("key"), F.lit(1).alias("value"))))), lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1))
-        return F.map_from_entries(last)
+        listed = F.array_sort(F.collect_list(F.when(c.isNotNull(), F.struct(ord.alias("o"), F.map_entries(c).alias("v")))))
+        entries = F.flatten(F.transform(listed, lambda x: x["v"]))
+        keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
+        return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"]))
     if policy is Agg.WEIGHTED_RATIO:
         return F.coalesce(F.sum(c * weight) / F.nullif(F.sum(F.when(c.isNotNull(), weight)), F.lit(0)), F.lit(0.0))
     return {Agg.MIN: F.min, Agg.MAX: F.max, Agg.SUM: F.sum}[policy](c)
@@ -91,14 +92,16 @@ def compiled(policy: Override, c: Column, ord: Column, weight: Column, kind: T.D
 
 def roll_up(df: DataFrame, by: list[str], ord: str = "ord", weight: str = "char_count", overrides: dict[str, Override] | None = None, drop: tuple[str, ...] = (), size_as: str | None = None) -> DataFrame:
     """One row for each value of by; every other column by its policy, in one aggregation."""
-    w = F.col(weight) if weight in df.columns else F.lit(1)
+    fields = df.schema.fields
+    # Under names of their own, as the results take the names of the columns they are made of.
+    df = df.withColumns({"_ord_": F.col(ord), "_weight_": F.col(weight) if weight in df.columns else F.lit(1)})
     out = []
-    for f in df.schema.fields:
+    for f in fields:
         if f.name in by or f.name in drop:
             continue
         policy, _ = policy_of(f.name, overrides)
         if policy is not Agg.DROP:
-            out.append(compiled(policy, F.col(f.name), F.col(ord), w, f.dataType).alias(f.name))
+            out.append(compiled(policy, F.col(f.name), F.col("_ord_"), F.col("_weight_"), f.dataType).alias(f.name))
     if size_as:
         out.append(F.count(F.lit(1)).alias(size_as))
     return df.groupBy(*by).agg(*out)

@@ -85,13 +85,13 @@ ORACLES: dict[str, str] = {
         ['Item','(a)','(iv)','12.3','Section','B.2','Table',NULL,NULL][ord % 9 + 1] AS hierarchy_marker FROM line""",
     "heading_score": rf"""WITH {LINES}, f AS (SELECT doc_id, ord, length(text) AS c, len(regexp_extract_all(text, '[A-Z]')) AS u, len(regexp_extract_all(text, '\S+')) AS w, len(list_filter(regexp_extract_all(text, '\S+'), lambda x: regexp_matches(x, '^\p{{Lu}}'))) AS cap FROM line),
         g AS (SELECT *, round(0.7 + (c % 10) / 10, 1) AS r, CAST(c % 25 AS DOUBLE) AS gap, lead(CAST(c % 25 AS DOUBLE)) OVER (PARTITION BY doc_id ORDER BY ord) AS below, count(*) OVER (PARTITION BY doc_id, ord // 3) AS n FROM f)
-        SELECT doc_id, ord, CASE WHEN r >= 1.4 THEN 3.0 WHEN r >= 1.2 THEN 2.0 WHEN r >= 1.01 THEN 1.0 WHEN r < 0.75 THEN -6.0 WHEN r < 0.95 THEN -1.0 ELSE 0.0 END + CASE WHEN c < 50 THEN 0.5 ELSE 0 END - CASE WHEN c > 100 THEN 1 ELSE 0 END - CASE WHEN c > 150 THEN 1.5 ELSE 0 END
+        SELECT doc_id, ord, CAST(CASE WHEN r >= 1.4 THEN 3.0 WHEN r >= 1.2 THEN 2.0 WHEN r >= 1.01 THEN 1.0 WHEN r < 0.75 THEN -6.0 WHEN r < 0.95 THEN -1.0 ELSE 0.0 END + CASE WHEN c < 50 THEN 0.5 ELSE 0 END - CASE WHEN c > 100 THEN 1 ELSE 0 END - CASE WHEN c > 150 THEN 1.5 ELSE 0 END
         - CASE WHEN c > 250 THEN 3 ELSE 0 END - CASE WHEN c > 2000 THEN 2 ELSE 0 END + CASE WHEN cap / nullif(w, 0) > 0.75 THEN 0.5 ELSE 0 END + CASE WHEN ord % 3 = 0 THEN 2.5 ELSE 0 END + CASE WHEN ord % 5 = 0 THEN 1.5 ELSE 0 END + CASE WHEN ord % 11 = 0 THEN 1.5 ELSE 0 END
         + CASE WHEN u > 50 THEN 1 ELSE 0 END + CASE WHEN c % 4 = 0 THEN 1 ELSE 0 END + CASE WHEN c % 9 = 0 THEN 1 ELSE 0 END - CASE WHEN ord % 7 = 0 THEN 5 ELSE 0 END - CASE WHEN gap > 0 AND gap <= 0.5 THEN 5 ELSE 0 END - CASE WHEN gap > 0.5 AND gap < 2 THEN 2 ELSE 0 END
-        - CASE WHEN gap > 0 AND below > 0 AND gap < below THEN 0.5 ELSE 0 END + CASE WHEN gap > 0 AND below > 0 AND gap > below AND gap BETWEEN 6 AND 20 THEN 0.5 ELSE 0 END - CASE WHEN n >= 4 THEN 2 ELSE 0 END AS score FROM g""",
+        - CASE WHEN gap > 0 AND below > 0 AND gap < below THEN 0.5 ELSE 0 END + CASE WHEN gap > 0 AND below > 0 AND gap > below AND gap BETWEEN 6 AND 20 THEN 0.5 ELSE 0 END - CASE WHEN n >= 4 THEN 2 ELSE 0 END AS DOUBLE) AS score FROM g""",
     "context_adjustment": f"""WITH {LINES}, k AS (SELECT doc_id, ord, concat_ws('|', ord % 3 = 0, ord % 5 = 0, ord % 11 = 0, CASE WHEN length(text) % 6 = 0 THEN 'note' ELSE '-' END, length(text) % 10) AS s FROM line),
         n AS (SELECT *, coalesce(lag(s, 2) OVER w = s, false) AS p2, coalesce(lag(s) OVER w = s, false) AS p1, coalesce(lead(s) OVER w = s, false) AS n1, coalesce(lead(s, 2) OVER w = s, false) AS n2 FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY ord))
-        SELECT doc_id, ord, CASE WHEN (p1 AND p2) OR (p1 AND n1) OR (n1 AND n2) THEN -2.0 ELSE 0.0 END + CASE WHEN NOT (p1 OR p2 OR n1 OR n2) THEN 1.0 ELSE 0.0 END AS adjustment FROM n""",
+        SELECT doc_id, ord, CAST(CASE WHEN (p1 AND p2) OR (p1 AND n1) OR (n1 AND n2) THEN -2.0 ELSE 0.0 END + CASE WHEN NOT (p1 OR p2 OR n1 OR n2) THEN 1.0 ELSE 0.0 END AS DOUBLE) AS adjustment FROM n""",
     "navigation_lines": f"""WITH {LINES}, f AS (SELECT doc_id, ord, split_part(text, ' ', 1) AS t FROM line WHERE ord % 2 = 0), k AS (SELECT doc_id, t FROM f GROUP BY ALL HAVING count(DISTINCT ord // 10) >= 3) SELECT doc_id, ord, t AS text FROM f JOIN k USING (doc_id, t)""",
     "event_pages": """SELECT user_id AS doc_id, event_id AS ord, CAST(1 + coalesce(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS page_number FROM events""",
     "heading_paths": f"""WITH {_TREE} SELECT id AS heading_id, depth, path, crumb AS breadcrumb FROM p""",
@@ -105,7 +105,7 @@ ORACLES: dict[str, str] = {
     "word_lines": f"""WITH {_WORDS}, j AS (SELECT *, CASE WHEN y0 - lag(y0) OVER o <= 5 THEN 0 ELSE 1 END AS s FROM w WINDOW o AS (PARTITION BY doc_id, page_number ORDER BY y0, x0, word_id))
         SELECT doc_id, page_number, word_id, CAST(sum(s) OVER (PARTITION BY doc_id, page_number ORDER BY y0, x0, word_id) AS BIGINT) AS line_id FROM j""",
     "line_gaps": f"""WITH {_WORDS}, j AS (SELECT *, CASE WHEN y0 - lag(y0) OVER o <= 5 THEN 0 ELSE 1 END AS s FROM w WINDOW o AS (PARTITION BY doc_id, page_number ORDER BY y0, x0, word_id)),
-        n AS (SELECT *, CAST(sum(s) OVER (PARTITION BY doc_id, page_number ORDER BY y0, x0, word_id) AS BIGINT) AS line_id FROM j), g AS (SELECT *, x0 - lag(x1) OVER (PARTITION BY doc_id, page_number, line_id ORDER BY x0, word_id) AS gap FROM n)
+        n AS (SELECT *, CAST(sum(s) OVER (PARTITION BY doc_id, page_number ORDER BY y0, x0, word_id) AS BIGINT) AS line_id FROM j), g AS (SELECT *, x0 - lag(x1) OVER (PARTITION BY doc_id, page_number, line_id ORDER BY x0, word_id, x1) AS gap FROM n)
         SELECT doc_id, page_number, line_id, CAST(count(*) AS BIGINT) AS n_words, median(gap) AS median_gap, max(gap) AS widest_gap, coalesce(median(gap) > 0 AND max(gap) >= 3 * median(gap), false) AS bimodal FROM g GROUP BY ALL""",
     "language_votes": r"""WITH w AS (SELECT doc_id, length(text) AS n, regexp_extract_all(lower(substr(text, 1, 10000)), '\p{L}+') AS w FROM documents),
         v AS (SELECT doc_id, n, code, len(list_filter(w, lambda x: list_contains(own, x))) AS k FROM w, (VALUES ('de', ['der','die','das','und','nicht','ist','mit','von','ein','zu']), ('en', ['the','and','of','to','in','is','that','it','for','with']), ('es', ['el','la','los','de','que','y','en','un','por','con']), ('fr', ['le','la','les','et','des','que','est','pour','dans','un'])) AS t(code, own))

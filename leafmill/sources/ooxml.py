@@ -210,7 +210,7 @@ def chart_rows(root, number: int, page: int) -> list[dict]:
     plot = next((e for e in root.iter() if e.tag.startswith(_C) and e.tag.endswith("Chart") and e.tag != f"{_C}chart"), None)
     kind = plot.tag.removeprefix(_C).removesuffix("Chart").removesuffix("3D") if plot is not None else None
     for s, series in enumerate(root.iter(f"{_C}ser")):
-        points = lambda tag: {int(p.get("idx")): p.findtext(f"{_C}v") for p in (e.iter(f"{_C}pt") if (e := series.find(f"{_C}{tag}")) is not None else ())}
+        points = lambda tag: {int(p.get("idx")): p.findtext(f"{_C}v") for p in series.iterfind(f"{_C}{tag}//{_C}pt")}
         names = points("tx")
         categories, values = points("cat") or points("xVal"), points("val") or points("yVal")
         for k, v in sorted(values.items()):
