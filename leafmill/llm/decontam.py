@@ -2,7 +2,8 @@
 
 A window is 10 consecutive words of a benchmark item; an item of fewer words, but not none, is one window. Hashed windows of a
 text that are in the set are verified word by word. The windows are broadcast only while their text stays under
-MAX_BROADCAST_BYTES; a larger benchmark is worked through in blocks of items under that bound, whose hits are joined.
+MAX_BROADCAST_BYTES. A larger benchmark is cut into blocks of items under that bound; each block is broadcast by itself for one
+pass, which writes the runs of hit words of the few documents that have any, and the runs of all passes are merged by document.
 
 Defined results: a null or empty text has no words and no hits; a null item text has no windows; the windows of an item with a
 null id count as hits and for n_items under the id "null"; repeated documents each get their row; repeated items with one id
@@ -12,17 +13,21 @@ count once; an empty benchmark hits nothing. Extra columns pass through clean()
 from __future__ import annotations
 
 
+from collections.abc import Iterator
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from leafmill.llm.bytewords import ALNUM, U, Words, mix, words
-from leafmill.llm.common import per_slice
+from leafmill.llm.common import materialize, per_slice
 
 WINDOW = 10
 #: Bytes of benchmark text in one broadcast set.
-MAX_BROADCAST_BYTES = 32 << 20
+MAX_BROADCAST_BYTES = 4 << 20
 _Q = 0xD6E8FEB86659FD93
 _BITS = 20
 
@@ -84,15 +89,13 @@ class WindowSet:
         return np.cumsum(edge[:-1]) > 0, items
 
 
-def _blocks(benchmark: DataFrame, limit: int) -> list[list[tuple[str, str]]]:
-    """The benchmark's items in blocks of at most limit bytes of text; each block comes to the driver by itself and is broadcast."""
+def _blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str, str]]]:
+    """The benchmark's items in blocks of about limit bytes of text at most; each block comes to the driver by itself."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-2 * size // limit))
-    if n == 1:
-        return [[tuple(r) for r in items.collect()]]
+    n = 1 if size <= limit else -(-2 * size // limit)
     part = F.pmod(F.xxhash64("item", "text"), F.lit(n))
-    return [[tuple(r) for r in items.where(part == k).collect()] for k in range(n)]
+    return ([tuple(r) for r in (items if n == 1 else items.where(part == k)).collect()] for k in range(n))
 
 
 def _runs(w: Words, hit: np.ndarray, d: int) -> list[tuple[int, int]]:
@@ -103,39 +106,75 @@ def _runs(w: Words, hit: np.ndarray, d: int) -> list[tuple[int, int]]:
     return [(int(w.start[a + i] - w.bounds[d]), int(w.end[a + j - 1] - w.bounds[d])) for i, j in zip(on, off)]
 
 
-def _scanner(documents: DataFrame, benchmark: DataFrame, window: int, max_bytes: int):
-    """A function from Words to the flag of each word and the sorted item ids of each text."""
+def _per_text(w: Words, hit: np.ndarray) -> np.ndarray:
+    run = np.concatenate(([0], np.cumsum(hit)))
+    return run[w.first[1:]] - run[w.first[:-1]]
+
+
+def _word_runs(w: Words, hit: np.ndarray, d: int) -> list[int]:
+    """First and last + 1 word of each run of hit words of text d, one after the other."""
+    flags = np.concatenate(([False], hit[w.first[d] : w.first[d + 1]], [False]))
+    return np.flatnonzero(flags[1:] != flags[:-1]).tolist()
+
+
+def _found(documents: DataFrame, benchmark: DataFrame, keep: list[str], window: int, max_bytes: int) -> DataFrame:
+    """The columns keep with _lm_words (number of words), _lm_runs (runs of hit words) and _lm_items (sorted ids) of every document."""
     spark = documents.sparkSession
-    blocks = [spark.sparkContext.broadcast(WindowSet(b, window)) for b in _blocks(benchmark, max_bytes)]
+    blocks = _blocks(benchmark, max_bytes)
 
-    def find(w: Words) -> tuple[np.ndarray, list[list[str]]]:
-        hit, items = np.zeros(len(w.start), dtype=bool), [set() for _ in range(len(w.first) - 1)]
-        for block in blocks:
-            more, who = block.value.hits(w)
-            hit |= more
-            items = [a | b for a, b in zip(items, who)]
-        return hit, [sorted(x) for x in items]
+    def passed(rows: DataFrame, block: list[tuple[str, str]], keep: list[str]) -> DataFrame:
+        shared = spark.sparkContext.broadcast(WindowSet(block, window))
 
-    return find
+        def work(strings: pa.Array) -> list[pa.Array]:
+            w = words(strings, ALNUM)
+            hit, items = shared.value.hits(w)
+            runs = [_word_runs(w, hit, d) if items[d] else [] for d in range(len(strings))]
+            return [pa.array(w.counts, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
 
+        return per_slice(rows, "text", keep, "_lm_words long, _lm_runs array<long>, _lm_items array<string>", work)
 
-def _per_text(w: Words, hit: np.ndarray) -> np.ndarray:
-    run = np.concatenate(([0], np.cumsum(hit)))
-    return run[w.first[1:]] - run[w.first[:-1]]
+    first = next(blocks)
+    held = [first]
+    if (second := next(blocks, None)) is None:
+        return passed(documents, first, keep)
+    held.append(second)
+    # Equal texts have equal hits, so that hits are kept by a hash of the text and of its length.
+    key = F.struct(F.xxhash64("text").alias("a"), F.xxhash64("text", F.lit("b")).alias("b"), F.length("text").alias("n"))
+    named = documents.withColumn("_lm_key", key)
+    hits = None
+    for block in chain(held, blocks):
+        part = materialize(passed(named.select("_lm_key", "text"), block, ["_lm_key"]).where(F.size("_lm_items") > 0).dropDuplicates(["_lm_key"]))
+        hits = part if hits is None else hits.unionByName(part)
+    merged = materialize(hits.groupBy("_lm_key").agg(F.flatten(F.collect_list("_lm_runs")).alias("_lm_runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_lm_items")))).alias("_lm_items")))
+    counted = passed(named, [], [*keep, "_lm_key"]).drop("_lm_runs", "_lm_items")
+    none = lambda kind: F.array().cast(kind)
+    return counted.join(merged, "_lm_key", "left").select(*[F.col(f"`{c}`") for c in keep], "_lm_words", F.coalesce("_lm_runs", none("array<long>")).alias("_lm_runs"), F.coalesce("_lm_items", none("array<string>")).alias("_lm_items"))
 
 
-def scan(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """Hits of every document: doc_id, n_words, n_hit, n_items, items (sorted ids), items_sha256, contaminated."""
-    find = _scanner(documents, benchmark, window, max_bytes)
+def _flags(n: int, runs: list[int]) -> np.ndarray:
+    """For each of n words if a run covers it; runs may overlap."""
+    edge = np.zeros(n + 1, dtype=np.int64)
+    np.add.at(edge, runs[::2], 1)
+    np.add.at(edge, runs[1::2], -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
+def _covered(runs: str) -> Column:
+    """How many words the runs cover."""
+    pairs = F.array_sort(F.array_compact(F.transform(runs, lambda x, i: F.when(i % 2 == 0, F.struct(x.alias("a"), F.get(runs, i + 1).alias("b"))))))
 
-    def work(strings: pa.Array) -> list[pa.Array]:
-        w = words(strings, ALNUM)
-        hit, items = find(w)
-        return [pa.array(w.counts, pa.int64()), pa.array(_per_text(w, hit), pa.int64()), pa.array(items, pa.list_(pa.string()))]
+    def step(acc: Column, p: Column) -> Column:
+        return F.struct((acc["n"] + F.greatest(F.lit(0).cast("long"), p["b"] - F.greatest(acc["end"], p["a"]))).alias("n"), F.greatest(acc["end"], p["b"]).alias("end"))
 
-    got = per_slice(documents, "text", ["doc_id"], "n_words long, n_hit long, items array<string>", work)
-    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
-    return got.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
+    return F.when(F.size(runs) > 0, F.aggregate(pairs, zero, step, lambda a: a["n"])).otherwise(F.lit(0).cast("long"))
+
+
+def scan(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Hits of every document: doc_id, n_words, n_hit, n_items, items (sorted ids), items_sha256, contaminated."""
+    got = _found(documents, benchmark, ["doc_id"], window, max_bytes).withColumn("n_hit", _covered("_lm_runs"))
+    digest = F.sha2(F.array_join("_lm_items", ",").cast("binary"), 256)
+    return got.select("doc_id", F.col("_lm_words").alias("n_words"), "n_hit", F.size("_lm_items").cast("long").alias("n_items"), F.col("_lm_items").alias("items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def cut_runs(text: str, w: Words, hit: np.ndarray, d: int) -> str:
@@ -149,17 +188,23 @@ def cut_runs(text: str, w: Words, hit: np.ndarray, d: int) -> str:
 
 def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_share: float = 0.5, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """documents without the hit spans; a document of which more than max_share of the words are hit goes. n_chars follows a changed text."""
-    find = _scanner(documents, benchmark, window, max_bytes)
-
-    def work(strings: pa.Array) -> list[pa.Array]:
-        w = words(strings, ALNUM)
-        hit, _ = find(w)
-        n_hit = _per_text(w, hit)
-        texts = [cut_runs(strings[d].as_py(), w, hit, d) if n else None for d, n in enumerate(n_hit.tolist())]
-        return [pa.array(texts, pa.string()), pa.array(n_hit > max_share * w.counts)]
-
-    got = per_slice(documents, "text", documents.columns, "_lm_text string, _lm_drop boolean", work).where("not _lm_drop")
-    out = got.withColumn("text", F.coalesce("_lm_text", "text"))
-    if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_lm_text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(documents.schema["n_chars"].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in documents.columns])
+    got = _found(documents, benchmark, documents.columns, window, max_bytes)
+    kept = got.where(_covered("_lm_runs") <= max_share * F.col("_lm_words"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            for i, runs in enumerate(batch.column(len(names)).to_pylist()):
+                if runs:
+                    w = words(pa.array([texts[i]], pa.large_string()), ALNUM)
+                    texts[i] = cut_runs(texts[i], w, _flags(len(w.start), runs), 0)
+            changed = pa.array(texts, batch.column(at).type)
+            yield pa.RecordBatch.from_arrays([changed if k == at else batch.column(k) for k in range(len(names))] + [batch.column(len(names))], names=[*names, "_lm_runs"])
+
+    names = documents.columns
+    at = names.index("text")
+    schema = StructType([*documents.schema.fields, got.schema["_lm_runs"]])
+    out = kept.select(*[F.col(f"`{c}`") for c in names], "_lm_runs").mapInArrow(run, schema)
+    if "n_chars" in names:
+        out = out.withColumn("n_chars", F.when(F.size("_lm_runs") == 0, F.col("n_chars")).otherwise(F.length("text")).cast(documents.schema["n_chars"].dataType))
+    return out.select(*[F.col(f"`{c}`") for c in names])
