@@ -172,7 +172,7 @@ def identify(documents: DataFrame, model: Model, keep: list[str] | None = None,
     return per_slice(documents, "text", documents.columns if keep is None else keep, f"`{names[0]}` string, `{names[1]}` double", work)
 
 
-def keep_identified(documents: DataFrame, model: Model, least_score: float = 0.5) -> DataFrame:
+def keep_identified(documents: DataFrame, model: Model, least_score: float = 0.35) -> DataFrame:
     """documents without those whose language cannot be told: no letter at all, or a best language under least_score."""
     got = identify(documents, model, names=("_lm_lang", "_lm_score"))
     return got.where((F.col("_lm_lang") != UNKNOWN) & (F.col("_lm_score") >= least_score)).select(*[F.col(f"`{c}`") for c in documents.columns])

@@ -129,7 +129,8 @@ def _driver_chances(cells: DataFrame, targets: Targets) -> DataFrame:
     index, goals = [], []
     for dim in DIMS:
         names = list(dict.fromkeys(r[dim] for r in rows))
-        own = np.array([names.index(r[dim]) for r in rows], dtype=np.int64)
+        place = {x: k for k, x in enumerate(names)}
+        own = np.array([place[r[dim]] for r in rows], dtype=np.int64)
         held = np.bincount(own, weights=tokens, minlength=len(names))
         wanted = _shares(dict(zip(names, held.tolist())), dim, targets)
         index.append(own)
