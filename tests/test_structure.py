@@ -128,3 +128,17 @@ def test_inferred_pages_and_labels(spark):
     assert [(r.page_number, r.page_label) for r in got] == [(1, "1"), (1, "1"), (2, "2"), (2, "2"), (3, None)]
     p = spark.createDataFrame([(1, i, "arabic", v, None) for i, v in enumerate([1, 2, 3, 99, 5], start=1)], "doc_id long, page_number long, label_type string, label_value int, label_prefix string")
     assert [r.label_value for r in structure.drop_unreliable_labels(p).orderBy("page_number").collect()] == [1, 2, 3, None, None]
+
+
+def test_parenthesized_series(spark):
+    assert headings.paren_kinds(["(a)", "(b)", "(i)", "(ii)", "(iii)", "(c)", "(d)"]) == ["alpha", "alpha", "roman", "roman", "roman", "alpha", "alpha"]
+    assert headings.paren_kinds(["(g)", "(h)", "(i)", "(j)"]) == ["alpha"] * 4 and headings.paren_kinds(["(iv)", "(v)"]) == ["roman"] * 2
+    df = headings.repaired_parens(headings.with_markers(lines(spark, ["(g) x", "(h) x", "(i) x", "text", "(j) x"])))
+    assert [r.hierarchy_type for r in df.orderBy("ord").collect()] == ["single_parens_single_alpha"] * 3 + [None, "single_parens_single_alpha"]
+
+
+def test_named_styles_may_differ_a_little(spark):
+    df = headings.with_style(lines(spark, ["Part I", "t", "Part II", "t", "Head", "t", "Head two"], block_type=F.when(F.col("ord") % 2 == 1, "heading"), is_bold=F.col("ord") < 3, font_size_ratio=F.when(F.col("ord") > 6, 1.5).otherwise(1.0)))
+    df = df.withColumns({"heading_type": F.when(F.col("ord") % 2 == 1, F.when(F.col("ord") < 5, "part").otherwise("free_form")), "hierarchy_marker": F.lit(None).cast("string"), "hierarchy_type": F.lit(None).cast("string")})
+    got = [r.heading_fp for r in headings.with_identity(df).where("heading_fp IS NOT NULL").orderBy("ord").collect()]
+    assert got[0] == got[1] and len({got[0], got[2], got[3]}) == 3
