@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """df written and reread as Parquet under spark.checkpoint.dir."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under spark.checkpoint.dir, as a full URI. A local one goes when this process ends; elsewhere the store's own rules clear what begins with name."""
     base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    path = f"{base.rstrip('/')}/levels-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    full = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    if full.startswith("file:"):
+        atexit.register(shutil.rmtree, "/" + full[5:].lstrip("/"), ignore_errors=True)
+    return full
+
+
+def staged(df: DataFrame, name: str = "levels") -> DataFrame:
+    """df written and reread as Parquet."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark, name)}/table"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
