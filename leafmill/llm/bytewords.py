@@ -29,7 +29,7 @@ _powers: dict[str, np.ndarray] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """P**i and P**-i modulo 2**64 for i < n at least."""
     if not _powers or len(_powers["p"]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 18)
         with np.errstate(over="ignore"):
             for name, base in (("p", _P), ("inv", pow(_P, -1, 1 << 64))):
                 steps = np.full(size, base, dtype=U)

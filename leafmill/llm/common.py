@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,11 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.plans.session import importable
+from leafmill.plans.staging import shared_folder, staged
 
 #: Rows in one Arrow batch. Texts are long, so Spark's default of 10,000 rows would not fit a worker.
-ARROW_ROWS = 512
+ARROW_ROWS = 256
 #: Bytes of text that a Python worker works on at once; a longer single text is a slice of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,19 +35,12 @@ def held_out(doc_id: Column) -> Column:
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder that the driver and all executors see."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file:///tmp/checkpoints"
-    if "://" not in base and not base.startswith("file:"):
-        base = f"file://{base}"
-    return f"{base.rstrip('/')}/leafmill-{uuid.uuid4().hex}"
+    return shared_folder(spark, "leafmill")
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write and reread df as Parquet in the shared folder: later stages neither recompute it nor need the executor that made it."""
-    path = f"{shared_dir(df.sparkSession)}/table"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return staged(df, "leafmill")
 
 
 def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:

@@ -33,7 +33,7 @@ ORDERS = (5, 4, 3, 2, 1)
 BACKOFF = 0.4
 UNKNOWN = "und"
 #: Unknown words whose scores a worker remembers.
-_CACHE = 200_000
+_CACHE = 40_000
 _UNIT = 1 << 20
 
 #: a-z and all bytes beyond ASCII.
