@@ -16,7 +16,7 @@ from leafmill.sources import detect, ooxml, pages
 
 def levels(lines: DataFrame) -> dict[str, DataFrame]:
     """Headings and chunks of lines of any source."""
-    found = staged(headings.detect(structure.mark_exhibits(structure.mark_toc(structure.mark_navigation(structure.complete(lines))))))
+    found = staged(headings.detect(structure.marked(lines)))
     placed = staged(hierarchy.tree(found).withColumn("heading_level", F.col("heading_level").cast("long")))
     made = blocks.with_block_id(found.withColumn("layout_id", F.coalesce("layout_id", F.col("ord"))))
     merged = made.groupBy("doc_id", "block_id").agg(F.min("ord").alias("ord"), F.min_by("page_number", "ord").alias("page_number"), F.min_by("block_type", "ord").alias("block_type"), F.min_by("heading_id", "ord").alias("heading_id"), rollup.ordered_join(tx.strip("text"), F.col("ord"), blocks.separator(F.col("text"))).alias("text"))

@@ -190,7 +190,7 @@ def page_lines(spark, sf_dir):
 
 
 def _page_headings(spark, sf_dir):
-    return staged(headings.detect(structure.mark_exhibits(structure.mark_toc(structure.mark_navigation(structure.complete(_page_lines(spark, sf_dir)))))))
+    return staged(headings.detect(structure.marked(_page_lines(spark, sf_dir))))
 
 
 def page_headings(spark, sf_dir):
