@@ -174,24 +174,22 @@ def links(fps: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
     return out
 
 
-def label_components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
+def label_components(edges: DataFrame) -> DataFrame:
     """node and label (the smallest node reachable) of every node of the undirected edges a, b.
 
-    Each round takes the least label among a node's neighbours and then the label of that label; state is written to the shared
-    folder, so a lost executor costs one round at most.
+    Each round takes the least label among a node's neighbours and then, for that label, its own label or the least that any node
+    so labelled has met, so whole groups move at once and long chains take few rounds. Labels only fall, so the rounds end. State
+    is written to the shared folder, so a lost executor costs one round at most.
     """
     both = materialize(edges.union(edges.select(F.col("b"), F.col("a"))).distinct().toDF("node", "other"))
     labels = materialize(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("label")))
-    for _ in range(most_rounds):
+    while True:
         near = both.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("m"))
-        step = labels.join(near, "node").select("node", F.least("label", "m").alias("l1"), (F.col("m") < F.col("label")).alias("moved"))
-        jump = labels.select(F.col("node").alias("l1"), F.col("label").alias("l2"))
-        new = step.join(jump, "l1", "left").select("node", F.least("l1", "l2").alias("label"), "moved")
-        new = materialize(new)
-        labels = new.drop("moved")
-        if not new.where("moved").take(1):
+        step = materialize(labels.join(near, "node").select("node", "label", F.least("label", "m").alias("l1")))
+        if not step.where("l1 < label").take(1):
             return labels
-    raise RuntimeError("components did not settle")
+        jump = labels.union(step.select("label", "l1")).toDF("l1", "l2").groupBy("l1").agg(F.min("l2").alias("l2"))
+        labels = materialize(step.select("node", "l1").join(jump, "l1", "left").select("node", F.least("l1", "l2").alias("label")))
 
 
 def _by_fingerprint(docs: DataFrame, least: Column) -> DataFrame:

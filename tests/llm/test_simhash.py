@@ -110,3 +110,10 @@ def test_keep_first_keeps_one_of_each_group(spark, docs, odd):
 def test_empty(docs):
     assert simhash.components(docs([])).collect() == []
     assert simhash.keep_first(docs([])).collect() == []
+
+
+def test_long_chain_is_one_component(spark):
+    nodes = random.Random(4).sample(range(10**6), 400)
+    edges = spark.createDataFrame(list(zip(nodes, nodes[1:])) + [(-5, -3), (-3, -4)], "a long, b long")
+    got = {r.node: r.label for r in simhash.label_components(edges).collect()}
+    assert got == {n: min(nodes) for n in nodes} | {n: -5 for n in (-5, -4, -3)}
