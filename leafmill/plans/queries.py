@@ -321,7 +321,7 @@ def _words(spark, sf_dir):
 
 
 def _links(spark, sf_dir):
-    p = _table(spark, sf_dir, "part").where("p_partkey <= 2000")
+    p = _table(spark, sf_dir, "part")
     return p.selectExpr("CAST(p_partkey % 50 AS BIGINT) AS doc_id", "CAST(p_partkey % 20 AS BIGINT) AS page_number", "CAST(p_partkey AS BIGINT) AS link_id", "CAST(p_partkey * 31 % 450 AS DOUBLE) AS x_left", "CAST(p_partkey * 17 % 650 AS DOUBLE) AS y_top").withColumns({"x_right": F.col("x_left") + 80, "y_bottom": F.col("y_top") + 40})
 
 
