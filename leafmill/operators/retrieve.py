@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as tx
+from leafmill.plans.staging import staged
 
 K1, B = 1.5, 0.4
 SNIPPET = 320
@@ -111,24 +112,24 @@ def unmatched_terms(chunks: DataFrame, queries: DataFrame) -> DataFrame:
 
 # Heading trees: doc_id, heading_id, parent_heading_id, text, ord.
 
-MOST_DEPTH = 32
 
-
-def with_paths(headings: DataFrame, most_depth: int = MOST_DEPTH) -> DataFrame:
+def with_paths(headings: DataFrame) -> DataFrame:
     """headings with path (texts), ids (heading ids from the root), depth from 1 and preorder key.
 
     Parents are looked up level by level, for as many levels as there are. A parent that is missing makes its children roots; of a
-    cycle no member is reached, so each becomes a root.
+    cycle no member is reached, so each becomes a root. Levels are written once, so deep trees have no deep plan.
     """
     h = headings.select("doc_id", "heading_id", "parent_heading_id", "text", "ord")
     known = h.select("doc_id", F.col("heading_id").alias("parent_heading_id")).distinct().withColumn("_known", F.lit(True))
     h = h.join(known, ["doc_id", "parent_heading_id"], "left").withColumn("parent_heading_id", F.when(F.col("_known"), F.col("parent_heading_id"))).drop("_known")
     root = h.where("parent_heading_id IS NULL")
     shape = lambda df: df.select("doc_id", "heading_id", "parent_heading_id", "text", "ord", F.array("text").alias("path"), F.array("heading_id").alias("ids"), F.array("ord").alias("preorder"))
-    level, levels, rest = shape(root), [shape(root)], h.where("parent_heading_id IS NOT NULL")
-    for _ in range(most_depth):
+    level, rest = staged(shape(root)), staged(h.where("parent_heading_id IS NOT NULL"))
+    levels = [level]
+    while True:
         up = level.select("doc_id", F.col("heading_id").alias("parent_heading_id"), F.col("path").alias("_path"), F.col("ids").alias("_ids"), F.col("preorder").alias("_pre"))
-        level = rest.join(up, ["doc_id", "parent_heading_id"]).select("doc_id", "heading_id", "parent_heading_id", "text", "ord", F.array_append("_path", F.col("text")).alias("path"), F.array_append("_ids", F.col("heading_id")).alias("ids"), F.array_append("_pre", F.col("ord")).alias("preorder"))
+        below = rest.join(up, ["doc_id", "parent_heading_id"]).where(~F.array_contains("_ids", F.col("heading_id")))
+        level = staged(below.select("doc_id", "heading_id", "parent_heading_id", "text", "ord", F.array_append("_path", F.col("text")).alias("path"), F.array_append("_ids", F.col("heading_id")).alias("ids"), F.array_append("_pre", F.col("ord")).alias("preorder")))
         if not level.take(1):
             break
         levels.append(level)

@@ -107,3 +107,9 @@ def test_prune(spark):
     day = lambda d, h=0: dt.datetime(2024, 1, d, h)
     df = spark.createDataFrame([("a", 5, day(3)), ("b", 5, day(2, 5)), ("c", 5, day(2, 1)), ("d", 5, day(1))], "path string, size long, mtime timestamp")
     assert sorted(r.path for r in retrieve.prune_plan(df, 10).collect()) == ["c", "d"]
+
+
+def test_paths_of_a_tree_deeper_than_32_levels(spark):
+    rows = [(1, i, i - 1 if i > 1 else None, f"h{i}", i) for i in range(1, 37)]
+    got = retrieve.with_paths(spark.createDataFrame(rows, "doc_id long, heading_id long, parent_heading_id long, text string, ord long"))
+    assert {r.heading_id: r.depth for r in got.collect()} == {i: i for i in range(1, 37)}
