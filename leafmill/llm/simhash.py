@@ -14,18 +14,22 @@ with pointer jumping over the links.
 
 Defined results: a null or empty text has fingerprint zero and links like any other; one or two words are one shingle; repeated
 rows each get their row; null ids never become a component's id unless all ids of the component are null; an empty table gives
-an empty result. Extra columns are ignored by components() and pass through keep_first().
+an empty result; texts are fingerprinted whole, however long. Extra columns are ignored by components() and pass through
+keep_first(), whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.bytewords import SOLID, U, words
-from leafmill.llm.common import materialize, per_slice
+from leafmill.llm.common import columns_of, free_names, materialize, per_slice
+from leafmill.plans.staging import Scratch, scratch
 
 SHINGLE = 3
 RADIUS = 3
@@ -157,45 +161,45 @@ def _pairs(rows: DataFrame, by: list[str], radius: int) -> DataFrame:
     return a.join(b, by).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)).select("a", "b")
 
 
-def links(fps: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
-    """All links a < b between different fingerprints; fps has each fingerprint once. A link may be listed more than once."""
+def links(fps: DataFrame, max_bucket: int = MAX_BUCKET, keep: Callable[[DataFrame], DataFrame] = materialize) -> DataFrame:
+    """All links a < b between different fingerprints; fps has each fingerprint once. A link may be listed more than once. keep writes and rereads a table."""
     if max_bucket < MAX_BUCKET:
         raise ValueError(f"max_bucket is {MAX_BUCKET} at least, the most that the third covering can leave")
     masks, by = cover(list(range(64))), ["t", "key"]
-    rows = materialize(_grouped(_tables(fps, masks), by))
+    rows = keep(_grouped(_tables(fps, masks), by))
     out = _pairs(rows.where(F.col("n") <= max_bucket), by, RADIUS)
     while (hot := rows.where(F.col("n") > max_bucket)).take(1):
         deeper = [[mask | m for m in cover([b for b in range(64) if not mask >> b & 1])] for mask in masks]
         own = F.element_at(F.array(*[F.array(*[F.lit(_signed(m)) for m in group]) for group in deeper]), F.col("t") + 1)
         parts = F.transform(own, lambda m, i: F.struct((F.col("t") * 15 + i).alias("t"), F.col("fp").bitwiseAND(m).alias("key")))
-        rows = materialize(_grouped(hot.select("fp", F.inline(parts)), by))
+        rows = keep(_grouped(hot.select("fp", F.inline(parts)), by))
         masks = [m for group in deeper for m in group]
         out = out.union(_pairs(rows.where(F.col("n") <= max_bucket), by, RADIUS))
     return out
 
 
-def label_components(edges: DataFrame) -> DataFrame:
+def label_components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame] = materialize) -> DataFrame:
     """node and label (the smallest node reachable) of every node of the undirected edges a, b.
 
     Each round takes the least label among a node's neighbours and then, for that label, its own label or the least that any node
     so labelled has met, so whole groups move at once and long chains take few rounds. Labels only fall, so the rounds end. State
-    is written to the shared folder, so a lost executor costs one round at most.
+    is written to the shared folder by keep, so a lost executor costs one round at most.
     """
-    both = materialize(edges.union(edges.select(F.col("b"), F.col("a"))).distinct().toDF("node", "other"))
-    labels = materialize(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("label")))
+    both = keep(edges.union(edges.select(F.col("b"), F.col("a"))).distinct().toDF("node", "other"))
+    labels = keep(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("label")))
     while True:
         near = both.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("m"))
-        step = materialize(labels.join(near, "node").select("node", "label", F.least("label", "m").alias("l1")))
+        step = keep(labels.join(near, "node").select("node", "label", F.least("label", "m").alias("l1")))
         if not step.where("l1 < label").take(1):
             return labels
         jump = labels.union(step.select("label", "l1")).toDF("l1", "l2").groupBy("l1").agg(F.min("l2").alias("l2"))
-        labels = materialize(step.select("node", "l1").join(jump, "l1", "left").select("node", F.least("l1", "l2").alias("label")))
+        labels = keep(step.select("node", "l1").join(jump, "l1", "left").select("node", F.least("l1", "l2").alias("label")))
 
 
-def _by_fingerprint(docs: DataFrame, least: Column) -> DataFrame:
+def _by_fingerprint(docs: DataFrame, least: Column, own: Scratch) -> DataFrame:
     """fp and least (the least of all documents' values in its component) of each fingerprint of docs."""
-    groups = materialize(docs.groupBy("fp").agg(least.alias("least")))
-    labels = label_components(links(groups.select("fp")))
+    groups = own.keep(docs.groupBy("fp").agg(least.alias("least")))
+    labels = label_components(links(groups.select("fp"), keep=own.keep), own.keep)
     named = groups.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     return named.join(named.groupBy("label").agg(F.min("least").alias("first")), "label").select("fp", "first")
 
@@ -203,15 +207,18 @@ def _by_fingerprint(docs: DataFrame, least: Column) -> DataFrame:
 def components(documents: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 lower-case hex digits) and component_id of every document."""
     docs = materialize(with_fingerprint(documents, ["doc_id"]))
-    by_fp = _by_fingerprint(docs, F.min("doc_id"))
+    with scratch(documents.sparkSession, "leafmill") as own:
+        by_fp = materialize(_by_fingerprint(docs, F.min("doc_id"), own))
     return docs.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("first").alias("component_id"))
 
 
 def keep_first(documents: DataFrame) -> DataFrame:
     """One document of each component: that with the smallest doc_id (then the smallest hash of its text); of repeated rows one stays."""
-    named = documents.withColumn("_lm_text", F.xxhash64("text"))
-    docs = materialize(with_fingerprint(named, ["doc_id", "_lm_text"]))
-    by_fp = _by_fingerprint(docs, F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_lm_text").alias("text"))))
-    kept = by_fp.select("first").distinct().select(F.col("first.id").alias("_lm_id"), F.col("first.text").alias("_lm_hash"))
-    same = F.col("doc_id").eqNullSafe(F.col("_lm_id")) & (F.col("_lm_text") == F.col("_lm_hash"))
-    return named.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_lm_text"]).drop("_lm_text")
+    a, b = free_names(documents.columns, "_lm_a", "_lm_b")
+    named = documents.withColumns({a: F.xxhash64("doc_id", "text"), b: F.xxhash64("text", F.lit(1), "doc_id")})
+    slim = named.select("doc_id", "text", F.col(a).alias("_lm_a"), F.col(b).alias("_lm_b"), F.xxhash64("text").alias("_lm_text"))
+    with scratch(documents.sparkSession, "leafmill") as own:
+        docs = own.keep(with_fingerprint(slim, ["doc_id", "_lm_a", "_lm_b", "_lm_text"]))
+        least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_lm_text").alias("text"), F.col("_lm_a").alias("a"), F.col("_lm_b").alias("b")))
+        kept = materialize(_by_fingerprint(docs, least, own).select(F.col("first.a").alias(a), F.col("first.b").alias(b)).distinct())
+    return named.join(kept, [a, b], "left_semi").dropDuplicates([a, b]).select(*columns_of(documents))
