@@ -1,20 +1,20 @@
 """Benchmark decontamination: a broadcast set of hashed benchmark windows, scanned over the word windows of every text.
 
 A window is 10 consecutive words of a benchmark item; an item of fewer words, but not none, is one window. Hashed windows of a
-text that are in the set are verified word by word. The windows are broadcast only while their text stays under
-MAX_BROADCAST_BYTES. A larger benchmark is cut into blocks of items under that bound; each block is broadcast by itself for one
-pass, which writes the runs of hit words of the few documents that have any, and the runs of all passes are merged by document.
+text that are in the set are verified word by word. The windows themselves are broadcast only while the benchmark's text stays
+under MAX_BROADCAST_BYTES. Of a larger benchmark only a bit filter of bounded size is broadcast: one pass over the texts keeps
+the windows that it lets through, with their words, and a join with the benchmark's windows on the words verifies them.
 
 Defined results: a null or empty text has no words and no hits; a null item text has no windows; the windows of an item with a
 null id count as hits and for n_items under the id "null"; repeated documents each get their row; repeated items with one id
-count once; an empty benchmark hits nothing. Extra columns pass through clean() and are ignored by scan().
+count once, and windows that several items hold (ties) count for each; very long texts are scanned whole; an empty benchmark hits
+nothing and an empty table gives an empty result. Extra columns pass through clean() and are ignored by scan(), whatever their names.
 """
 
 from __future__ import annotations
 
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from leafmill.llm.bytewords import ALNUM, U, Words, mix, words
-from leafmill.llm.common import materialize, per_slice
+from leafmill.llm.common import bit_filter, materialize, per_slice
 
 WINDOW = 10
 #: Bytes of benchmark text in one broadcast set.
@@ -89,13 +89,8 @@ class WindowSet:
         return np.cumsum(edge[:-1]) > 0, items
 
 
-def _blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str, str]]]:
-    """The benchmark's items in blocks of about limit bytes of text at most; each block comes to the driver by itself."""
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = 1 if size <= limit else -(-2 * size // limit)
-    part = F.pmod(F.xxhash64("item", "text"), F.lit(n))
-    return ([tuple(r) for r in (items if n == 1 else items.where(part == k)).collect()] for k in range(n))
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def _runs(w: Words, hit: np.ndarray, d: int) -> list[tuple[int, int]]:
@@ -117,38 +112,77 @@ def _word_runs(w: Words, hit: np.ndarray, d: int) -> list[int]:
     return np.flatnonzero(flags[1:] != flags[:-1]).tolist()
 
 
+_MADE = "_lm_words long, _lm_runs array<long>, _lm_items array<string>"
+
+
 def _found(documents: DataFrame, benchmark: DataFrame, keep: list[str], window: int, max_bytes: int) -> DataFrame:
     """The columns keep with _lm_words (number of words), _lm_runs (runs of hit words) and _lm_items (sorted ids) of every document."""
-    spark = documents.sparkSession
-    blocks = _blocks(benchmark, max_bytes)
-
-    def passed(rows: DataFrame, block: list[tuple[str, str]], keep: list[str]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(WindowSet(block, window))
-
-        def work(strings: pa.Array) -> list[pa.Array]:
-            w = words(strings, ALNUM)
-            hit, items = shared.value.hits(w)
-            runs = [_word_runs(w, hit, d) if items[d] else [] for d in range(len(strings))]
-            return [pa.array(w.counts, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
-
-        return per_slice(rows, "text", keep, "_lm_words long, _lm_runs array<long>, _lm_items array<string>", work)
-
-    first = next(blocks)
-    held = [first]
-    if (second := next(blocks, None)) is None:
-        return passed(documents, first, keep)
-    held.append(second)
-    # Equal texts have equal hits, so that hits are kept by a hash of the text and of its length.
-    key = F.struct(F.xxhash64("text").alias("a"), F.xxhash64("text", F.lit("b")).alias("b"), F.length("text").alias("n"))
-    named = documents.withColumn("_lm_key", key)
-    hits = None
-    for block in chain(held, blocks):
-        part = materialize(passed(named.select("_lm_key", "text"), block, ["_lm_key"]).where(F.size("_lm_items") > 0).dropDuplicates(["_lm_key"]))
-        hits = part if hits is None else hits.unionByName(part)
-    merged = materialize(hits.groupBy("_lm_key").agg(F.flatten(F.collect_list("_lm_runs")).alias("_lm_runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_lm_items")))).alias("_lm_items")))
-    counted = passed(named, [], [*keep, "_lm_key"]).drop("_lm_runs", "_lm_items")
+    items = _items(benchmark)
+    if (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > max_bytes:
+        return _joined(documents, items, keep, window)
+    # At most max_bytes of text come to the driver.
+    shared = documents.sparkSession.sparkContext.broadcast(WindowSet([tuple(r) for r in items.distinct().collect()], window))
+
+    def work(strings: pa.Array) -> list[pa.Array]:
+        w = words(strings, ALNUM)
+        hit, found = shared.value.hits(w)
+        runs = [_word_runs(w, hit, d) if found[d] else [] for d in range(len(strings))]
+        return [pa.array(w.counts, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array([sorted(x) for x in found], pa.list_(pa.string()))]
+
+    return per_slice(documents, "text", keep, _MADE, work)
+
+
+def _windows(w: Words, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first word and text number of each window of size words."""
+    found, at = window_hashes(w, hashes, size)
+    return found, at, np.searchsorted(w.first, at, side="right") - 1
+
+
+def benchmark_windows(items: DataFrame, window: int) -> DataFrame:
+    """h, size, win (the words) and item of every window, once each."""
+
+    def work(strings: pa.Array) -> list[pa.Array]:
+        w = words(strings, ALNUM)
+        hashes, out = w.hashes(), [[] for _ in range(len(strings))]
+        sizes = np.minimum(w.counts, window)
+        for size in np.unique(sizes[sizes > 0]).tolist():
+            for h, i, d in zip(*(x.tolist() for x in _windows(w, hashes, size))):
+                if sizes[d] == size:
+                    out[d].append({"h": int(np.uint64(h).astype(np.int64)), "size": size, "win": b" ".join(w.word(k) for k in range(i, i + size)).decode()})
+        return [pa.array(out, pa.list_(pa.struct([("h", pa.int64()), ("size", pa.int64()), ("win", pa.string())])))]
+
+    return per_slice(items, "text", ["item"], "windows array<struct<h:long,size:long,win:string>>", work).select("item", F.inline("windows")).distinct()
+
+
+def _joined(documents: DataFrame, items: DataFrame, keep: list[str], window: int) -> DataFrame:
+    """The same for a benchmark of any size."""
+    listed = materialize(benchmark_windows(items, window))
+    sizes = sorted(r[0] for r in listed.select("size").distinct().collect())  # as many as a window has words at most
+    shared = documents.sparkSession.sparkContext.broadcast(bit_filter(listed, "h"))
+
+    def candidates(strings: pa.Array) -> list[pa.Array]:
+        w = words(strings, ALNUM)
+        hashes, out = w.hashes(), [[] for _ in range(len(strings))]
+        for size in sizes:
+            found, at, own = _windows(w, hashes, size)
+            on = shared.value.may_hold(found)
+            for i, d in zip(at[on].tolist(), own[on].tolist()):
+                out[d].append({"at": i - int(w.first[d]), "size": size, "win": b" ".join(w.word(k) for k in range(i, i + size)).decode()})
+        return [pa.array(out, pa.list_(pa.struct([("at", pa.int64()), ("size", pa.int64()), ("win", pa.string())])))]
+
+    def counts(strings: pa.Array) -> list[pa.Array]:
+        return [pa.array(words(strings, ALNUM).counts, pa.int64())]
+
+    # Equal texts have equal hits, so that hits are kept by two hashes of the text and its length.
+    named = documents.withColumns({"_lm_a": F.xxhash64("text"), "_lm_b": F.xxhash64("text", F.lit("b")), "_lm_n": F.length("text")})
+    key = ["_lm_a", "_lm_b", "_lm_n"]
+    passed = per_slice(named, "text", key, "cand array<struct<at:long,size:long,win:string>>", candidates).where(F.size("cand") > 0)
+    hits = passed.select(*key, F.inline("cand")).distinct().join(listed.select("size", "win", "item"), ["size", "win"])
+    of_doc = hits.groupBy(*key).agg(F.flatten(F.collect_set(F.array(F.col("at"), F.col("at") + F.col("size")))).alias("_lm_runs"), F.array_sort(F.collect_set("item")).alias("_lm_items"))
+    merged = materialize(of_doc)
+    counted = per_slice(named, "text", [*keep, *key], "_lm_words long", counts)
     none = lambda kind: F.array().cast(kind)
-    return counted.join(merged, "_lm_key", "left").select(*[F.col(f"`{c}`") for c in keep], "_lm_words", F.coalesce("_lm_runs", none("array<long>")).alias("_lm_runs"), F.coalesce("_lm_items", none("array<string>")).alias("_lm_items"))
+    return counted.join(merged, key, "left").select(*[F.col(f"`{c}`") for c in keep], "_lm_words", F.coalesce("_lm_runs", none("array<long>")).alias("_lm_runs"), F.coalesce("_lm_items", none("array<string>")).alias("_lm_items"))
 
 
 def _flags(n: int, runs: list[int]) -> np.ndarray:
@@ -188,7 +222,10 @@ def cut_runs(text: str, w: Words, hit: np.ndarray, d: int) -> str:
 
 def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_share: float = 0.5, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """documents without the hit spans; a document of which more than max_share of the words are hit goes. n_chars follows a changed text."""
-    got = _found(documents, benchmark, documents.columns, window, max_bytes)
+    # Columns go by number inside, so that no name of theirs meets one of ours.
+    held = {c: "text" if c == "text" else f"_k{i}" for i, c in enumerate(documents.columns)}
+    named = documents.select(*[F.col(f"`{c}`").alias(k) for c, k in held.items()])
+    got = _found(named, benchmark, named.columns, window, max_bytes)
     kept = got.where(_covered("_lm_runs") <= max_share * F.col("_lm_words"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,10 +238,10 @@ def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_
             changed = pa.array(texts, batch.column(at).type)
             yield pa.RecordBatch.from_arrays([changed if k == at else batch.column(k) for k in range(len(names))] + [batch.column(len(names))], names=[*names, "_lm_runs"])
 
-    names = documents.columns
+    names = named.columns
     at = names.index("text")
-    schema = StructType([*documents.schema.fields, got.schema["_lm_runs"]])
-    out = kept.select(*[F.col(f"`{c}`") for c in names], "_lm_runs").mapInArrow(run, schema)
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.size("_lm_runs") == 0, F.col("n_chars")).otherwise(F.length("text")).cast(documents.schema["n_chars"].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in names])
+    schema = StructType([*named.schema.fields, got.schema["_lm_runs"]])
+    out = kept.select(*names, "_lm_runs").mapInArrow(run, schema)
+    if "n_chars" in held:
+        out = out.withColumn(held["n_chars"], F.when(F.size("_lm_runs") == 0, F.col(held["n_chars"])).otherwise(F.length("text")).cast(documents.schema["n_chars"].dataType))
+    return out.select(*[F.col(k).alias(c) for c, k in held.items()])

@@ -4,11 +4,13 @@ A word (a run of letters, lower-cased) that the model knows scores its log frequ
 from its start: at each place the longest known n-gram (5 characters down to 1, with marks for the word's edges) scores its
 discounted log frequency. A text's score is the sum over its words.
 
-The model is fitted on a bounded sample of the labelled documents (MAX_TRAIN_DOCS, picked by a hash) and holds the
-MAX_WORDS most frequent words and MAX_GRAMS most frequent n-grams, so what is broadcast has a fixed bound.
+The model is fitted on a bounded sample of the labelled documents (MAX_TRAIN_DOCS, picked by a hash) and holds all their words and
+n-grams that stand there LEAST_COUNT times or more, as hashes and numbers, so what is broadcast is bounded by the sample.
 
 Defined results: a null, empty or letterless text is "und" with score 0; without any training document every text is "und"; ties
-go to the language that sorts first; repeated rows each get their row; extra columns pass through identify().
+go to the language that sorts first; very long texts are scored whole; repeated rows each get their row; an empty table gives an
+empty result; extra columns pass through identify(), whose two columns take the place of any so named, and keep_identified(),
+whatever their names.
 """
 
 from __future__ import annotations
@@ -22,19 +24,19 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.bytewords import words
-from leafmill.llm.common import held_out, materialize, per_slice, text_slices
+from leafmill.llm.bytewords import U, mix, words
+from leafmill.llm.common import columns_of, free_names, held_out, materialize, per_slice, settle, small_rows, text_slices
 
 MAX_TRAIN_DOCS = 12_000
-MAX_WORDS = 60_000
-MAX_GRAMS = 60_000
+#: How often a word or n-gram must stand in the sample to be known; those that stand once are left to the shorter n-grams.
+LEAST_COUNT = 2
 ORDERS = (5, 4, 3, 2, 1)
 #: Factor on an n-gram's frequency for each order that was tried and not known before it.
 BACKOFF = 0.4
 UNKNOWN = "und"
-#: Unknown words whose scores a worker remembers.
-_CACHE = 40_000
+FLOOR = -14.0
 _UNIT = 1 << 20
+_Q = U(0x9FB21C651E98DF25)
 
 #: a-z and all bytes beyond ASCII.
 LETTERS = np.zeros(256, dtype=bool)
@@ -56,65 +58,81 @@ def _word_counts(sample: DataFrame) -> DataFrame:
                 w = words(_lowered(strings), LETTERS)
                 data, owner = w.low.tobytes(), w.owner().tolist()
                 counts.update((langs[first + d], data[a:b]) for d, a, b in zip(owner, w.start.tolist(), w.end.tolist()))
+            settle()
             if counts:
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts]), pa.array([k[1].decode(errors="replace") for k in counts]), pa.array(list(counts.values()), pa.int64())], names=["lang", "word", "n"])
 
     return sample.select("lang", "text").mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(U)
+
+
+def gram_hashes(codes: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit hash of each stretch of n characters."""
+    total = np.zeros(max(0, len(codes) - n + 1), dtype=U)
+    with np.errstate(over="ignore"):
+        for k in range(n):
+            total = total * _Q + codes[k : k + len(total)] + U(1)
+        return mix(total + U(n))
+
+
+class Listed:
+    """Log frequencies by language of hashed keys."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, totals: list[float]) -> None:
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        self.scores = np.log((counts[order] + 0.1) / (np.maximum(np.array(totals, dtype=float), 1) + 0.1 * (len(keys) + 1)))
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes are known, and their rows of scores."""
+        if not len(self.keys):
+            return np.zeros(len(hashes), dtype=bool), np.zeros(len(hashes), dtype=np.int64)
+        spot = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return self.keys[spot] == hashes, spot
+
+
 class Model:
-    """Log frequencies by language of words and n-grams."""
+    """What is known of words and of n-grams of each order."""
 
-    def __init__(self, langs: list[str], word_rows: list[tuple[str, list[float]]], gram_rows: list[tuple[str, list[float]]], prior: list[float], word_total: list[float], gram_total: dict[int, list[float]]) -> None:
-        self.langs, k = langs, max(1, len(langs))
+    def __init__(self, langs: list[str], prior: list[float], listed: Listed | None, grams: dict[int, Listed]) -> None:
+        self.langs, self.words, self.grams = langs, listed, grams
         self.prior = np.log(np.maximum(np.array(prior, dtype=float), 0.5) / max(1.0, sum(prior))) if langs else np.zeros(0)
-        counts = np.array([c for _, c in word_rows], dtype=float).reshape(len(word_rows), len(langs))
-        self.words = np.log((counts + 0.1) / (np.maximum(np.array(word_total), 1) + 0.1 * (len(word_rows) + 1)))
-        listed = words(pa.array([w for w, _ in word_rows], pa.large_string()), LETTERS)
-        keys = listed.hashes()
-        order = np.argsort(keys)
-        self.keys, self.words = keys[order], self.words[order]
-        sizes = Counter(len(g) for g, _ in gram_rows)
-        self.grams = {g: np.log((np.array(c) + 0.1) / (np.maximum(np.array(gram_total[len(g)]), 1) + 0.1 * (sizes[len(g)] + 1))) for g, c in gram_rows}
-        self.floor = np.full(k, -14.0)
-        self.cache: dict[bytes, np.ndarray] = {}
-
-    def unseen(self, word: bytes) -> np.ndarray:
-        if (got := self.cache.get(word)) is not None:
-            return got
-        edged = f"^{word.decode(errors='replace')}$"
-        total, at, discount = np.zeros(len(self.langs)), 0, np.log(BACKOFF)
-        while at < len(edged):
-            for tried, n in enumerate(ORDERS):
-                if (p := self.grams.get(edged[at : at + n])) is not None and at + n <= len(edged):
-                    total = total + p + tried * discount
-                    at += n
-                    break
-            else:
-                total = total + self.floor
-                at += 1
-        if len(self.cache) >= _CACHE:
-            self.cache.clear()
-        self.cache[word] = total
+
+    def unseen(self, unknown: list[bytes]) -> np.ndarray:
+        """Scores of unknown words: all are walked at once, a step for each n-gram."""
+        codes = _codes(b"".join(b"^" + w + b"$" for w in unknown).decode())
+        starts, ends = np.flatnonzero(codes == U(94)), np.flatnonzero(codes == U(36)) + 1
+        room = np.repeat(ends, ends - starts) - np.arange(len(codes))
+        step, score = np.zeros(len(codes), dtype=np.int64), np.full((len(codes), len(self.langs)), FLOOR)
+        for tried, n in enumerate(ORDERS):
+            at = np.flatnonzero((step == 0) & (room >= n))
+            found, rows = self.grams[n].find(gram_hashes(codes, n)[at])
+            at = at[found]
+            step[at], score[at] = n, self.grams[n].scores[rows[found]] + tried * np.log(BACKOFF)
+        step[step == 0] = 1
+        total, place = np.zeros((len(unknown), len(self.langs))), starts.copy()
+        live = np.arange(len(unknown))
+        while len(live):
+            total[live] += score[place[live]]
+            place[live] += step[place[live]]
+            live = live[place[live] < ends[live]]
         return total
 
     def score(self, strings: pa.Array) -> tuple[list[str], list[float]]:
         n = len(strings)
-        lettered = [bool(x) and any(c.isalpha() for c in x) for x in strings.to_pylist()] if n else []
-        if not self.langs:
+        if not self.langs or not n:
             return [UNKNOWN] * n, [0.0] * n
+        lettered = pc.match_substring_regex(strings, r"\p{L}").to_pylist()
         w = words(_lowered(strings), LETTERS)
-        keys, back = np.unique(w.hashes(), return_inverse=True)
+        keys, one, back = np.unique(w.hashes(), return_index=True, return_inverse=True)
+        known, rows = self.words.find(keys)
         table = np.zeros((len(keys), len(self.langs)))
-        known = np.zeros(len(keys), dtype=bool)
-        if len(self.keys) and len(keys):
-            spot = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            known = self.keys[spot] == keys
-            table[known] = self.words[spot[known]]
-        one = np.zeros(len(keys), dtype=np.int64)
-        one[back] = np.arange(len(back))  # some word with that hash
-        for k in np.flatnonzero(~known).tolist():
-            table[k] = self.unseen(w.word(one[k]))
+        table[known] = self.words.scores[rows[known]]
+        if len(new := np.flatnonzero(~known)):
+            table[new] = self.unseen([w.word(i) for i in one[new].tolist()])
         # Whole multiples of a small unit, so that sums are exact and equal texts score equally wherever they stand.
         total = np.zeros((len(back) + 1, len(self.langs)), dtype=np.int64)
         np.cumsum(np.rint(table * _UNIT).astype(np.int64)[back], axis=0, out=total[1:])
@@ -127,13 +145,39 @@ class Model:
         return [self.langs[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), lettered)], [float(share[d, b]) if ok else 0.0 for d, (b, ok) in enumerate(zip(best.tolist(), lettered))]
 
 
-def _top(rows: DataFrame, key: str, langs: list[str], most: int) -> list[tuple[str, list[float]]]:
-    by = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"c{i}") for i, x in enumerate(langs)]
-    top = rows.groupBy(key).agg(F.sum("n").alias("n"), *by).where("n > 1").orderBy(F.desc("n"), key).limit(most)
-    return [(r[0], [float(x) for x in r[2:]]) for r in top.collect()]
+def _counted(rows: DataFrame, key: str, langs: list[str], least: int) -> DataFrame:
+    """key and counts (one for each language) of the keys that stand least times or more."""
+    by = F.array(*[F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)) for x in langs])
+    return rows.groupBy(key).agg(F.sum("n").alias("n"), by.alias("counts")).where(F.col("n") >= least).select(key, "counts")
 
 
-def fit(documents: DataFrame, max_docs: int = MAX_TRAIN_DOCS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
+def _gathered(counted: DataFrame, grams: bool, langs: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Hashes and counts by length (0 for words), packed on the executors; they are bounded by the sample that they come from."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, counts = batch.column(0), batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, langs)
+            out = []
+            if not grams:
+                out.append((0, words(texts.cast(pa.large_string()), LETTERS).hashes(), counts))
+            else:
+                sizes = pc.utf8_length(texts).to_numpy(zero_copy_only=False)
+                for n in np.unique(sizes).tolist():
+                    on = np.flatnonzero(sizes == n)
+                    codes = _codes("".join(texts.take(pa.array(on)).to_pylist()))
+                    out.append((n, gram_hashes(codes, n)[::n] if len(codes) else np.zeros(0, U), counts[on]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1].tobytes() for x in out], pa.binary()), pa.array([x[2].tobytes() for x in out], pa.binary())], names=["size", "keys", "counts"])
+
+    with small_rows(counted.sparkSession):
+        rows = counted.mapInArrow(run, "size long, keys binary, counts binary").collect()
+    out: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for size in (ORDERS if grams else (0,)):
+        own = [r for r in rows if r["size"] == size]
+        out[size] = (np.frombuffer(b"".join(r["keys"] for r in own), dtype=U), np.frombuffer(b"".join(r["counts"] for r in own), dtype=np.int64).reshape(-1, langs))
+    return out
+
+
+def fit(documents: DataFrame, max_docs: int = MAX_TRAIN_DOCS, least: int = LEAST_COUNT) -> Model:
     """Fit on at most about max_docs labelled documents outside the held-out fold; text and lang alone are learned from."""
     usable = documents.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     n = usable.count()
@@ -142,7 +186,7 @@ def fit(documents: DataFrame, max_docs: int = MAX_TRAIN_DOCS, max_words: int = M
     prior = {r[0]: float(r[1]) for r in usable.groupBy("lang").count().collect()}
     langs = sorted(prior)
     if not langs:
-        return Model([], [], [], [], [], {})
+        return Model([], [], None, {})
     counts = materialize(_word_counts(usable))
     edged = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
     size = F.length(edged)
@@ -152,13 +196,14 @@ def fit(documents: DataFrame, max_docs: int = MAX_TRAIN_DOCS, max_words: int = M
         return F.when(size >= n, found).otherwise(F.array().cast("array<string>"))
 
     pieces = F.flatten(F.array(*[of_size(n) for n in ORDERS]))
-    gram_counts = counts.select("lang", "n", F.explode(pieces).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    gram_counts = materialize(gram_counts)
+    gram_counts = materialize(counts.select("lang", "n", F.explode(pieces).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     word_total = {r[0]: float(r[1]) for r in counts.groupBy("lang").agg(F.sum("n")).collect()}
     gram_total: dict[int, list[float]] = {n: [0.0] * len(langs) for n in ORDERS}
     for lang, size_of, total in gram_counts.groupBy("lang", F.length("gram")).agg(F.sum("n")).collect():
         gram_total[size_of][langs.index(lang)] = float(total)
-    return Model(langs, _top(counts, "word", langs, max_words), _top(gram_counts, "gram", langs, max_grams), [prior[x] for x in langs], [word_total.get(x, 0.0) for x in langs], gram_total)
+    listed = _gathered(_counted(counts, "word", langs, least), False, len(langs))[0]
+    grams = _gathered(_counted(gram_counts, "gram", langs, least), True, len(langs))
+    return Model(langs, [prior[x] for x in langs], Listed(*listed, [word_total.get(x, 0.0) for x in langs]), {n: Listed(*grams[n], gram_total[n]) for n in ORDERS})
 
 
 def identify(documents: DataFrame, model: Model, keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
@@ -169,10 +214,13 @@ def identify(documents: DataFrame, model: Model, keep: list[str] | None = None,
         langs, scores = shared.value.score(strings)
         return [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
 
-    return per_slice(documents, "text", documents.columns if keep is None else keep, f"`{names[0]}` string, `{names[1]}` double", work)
+    made = {n.lower() for n in names}
+    kept = [c for c in (documents.columns if keep is None else keep) if c.lower() not in made]
+    return per_slice(documents, "text", kept, f"`{names[0]}` string, `{names[1]}` double", work)
 
 
 def keep_identified(documents: DataFrame, model: Model, least_score: float = 0.35) -> DataFrame:
     """documents without those whose language cannot be told: no letter at all, or a best language under least_score."""
-    got = identify(documents, model, names=("_lm_lang", "_lm_score"))
-    return got.where((F.col("_lm_lang") != UNKNOWN) & (F.col("_lm_score") >= least_score)).select(*[F.col(f"`{c}`") for c in documents.columns])
+    lang, score = free_names(documents.columns, "_lm_lang", "_lm_score")
+    got = identify(documents, model, names=(lang, score))
+    return got.where((F.col(lang) != UNKNOWN) & (F.col(score) >= least_score)).select(*columns_of(documents))

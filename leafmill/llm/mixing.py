@@ -19,7 +19,7 @@ are one pack on the driver; more are packs on the executors, by the same code, s
 Defined results: null sources and languages are categories of their own; a null or empty text has no tokens, falls in topic 0 and
 has chance 1 (it costs nothing); repeated rows share their fate, and so do documents of equal id and text (ties); very long texts
 count whole; a target for a category without tokens is spread over the others in proportion; an empty table gives an empty result;
-extra columns pass through, whatever their names, but sample() refuses columns that it makes itself.
+extra columns pass through, whatever their names, but that the five columns that sample() makes take the place of any so named.
 """
 
 from __future__ import annotations
@@ -438,11 +438,9 @@ def _sampled(documents: DataFrame, targets: Targets, topics: int, max_cells: int
 
 
 def sample(documents: DataFrame, targets: Targets | None = None, topics: int = TOPICS, max_cells: int = MAX_CELLS, keep: list[str] | None = None) -> DataFrame:
-    """The columns keep (all by default) with _lm_topic, _lm_tokens, _lm_weight, _lm_chance and _lm_sampled, which the columns kept must not have."""
-    keep = documents.columns if keep is None else keep
-    if clash := {c.lower() for c in keep} & set(MADE):
-        raise ValueError(f"columns {sorted(clash)} are made here; rename or leave out those that the rows have")
-    return _sampled(documents, targets or Targets(), topics, max_cells, keep, list(MADE))
+    """The columns keep (all by default) with _lm_topic, _lm_tokens, _lm_weight, _lm_chance and _lm_sampled."""
+    kept = [c for c in (documents.columns if keep is None else keep) if c.lower() not in MADE]
+    return _sampled(documents, targets or Targets(), topics, max_cells, kept, list(MADE))
 
 
 def mix(documents: DataFrame, targets: Targets | None = None) -> DataFrame:

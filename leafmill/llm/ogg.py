@@ -9,8 +9,9 @@ Ogg's checksum is a CRC-32 over unreflected bits from zero; zlib's CRC over the
 turned bits and inverted ends, so both writing and reading run at zlib's speed.
 
 Defined results: a null text counts as empty; the payload has zero bytes up to a positive multiple of 64; equal texts give equal
-bytes (serial numbers come from the payload); broken pages raise OggError; repeated rows each get their row; extra columns are
-ignored by store() and describe() but for those kept.
+bytes (serial numbers come from the payload), and so do ties and repeated rows, which each get their row; very long texts are
+stored whole; broken pages raise OggError; an empty table gives an empty result; extra columns are ignored by store() and
+describe() but for those kept, and what is made takes the place of any so named.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from leafmill.llm.common import per_slice
+from leafmill.llm.common import per_slice, settle
 
 BLOCK = 64
 PACKET = 4096
@@ -105,12 +106,16 @@ class Stream:
 
     serial: int
     packets: list[bytes] = field(default_factory=list)
-    #: Time in seconds of each page that ends a packet, where a rate is known.
+    #: Granule position of each page that ends a packet.
     granules: list[int] = field(default_factory=list)
     pages: int = 0
     ended: bool = False
     open: list[bytes] = field(default_factory=list)
 
+    def times(self, rate: int) -> list[float]:
+        """Time in seconds at the end of each page that ends a packet."""
+        return [g / rate for g in self.granules]
+
 
 def decode(data: bytes) -> list[Stream]:
     """The logical streams of a physical stream, in order of their first page."""
@@ -160,6 +165,10 @@ class Media:
     rate: int
     pages: int
 
+    @property
+    def times(self) -> list[float]:
+        return self.sound.times(self.rate)
+
 
 def read(data: bytes) -> Media:
     streams = decode(data)
@@ -172,21 +181,25 @@ def read(data: bytes) -> Media:
 
 
 def feature(media: Media) -> str:
-    """Pages, packets, duration, and mean, spread, zero crossings around the middle and peak of the samples."""
+    """Pages, packets, duration, digest of the pages' times, and mean, spread, zero crossings around the middle and peak of the samples."""
     x = np.frombuffer(media.payload, dtype=np.uint8)
     mean = x.mean(dtype=np.float64)
     crossings = int(np.count_nonzero((x[1:] >= 128) != (x[:-1] >= 128)))
     spread = float(np.sqrt(max(0.0, np.square(x, dtype=np.float64).mean() - mean * mean)))
-    return f"pages={media.pages};packets={len(media.sound.packets) - 1};seconds={media.sound.granules[-1] / media.rate:.6f};mean={mean:.6f};std={spread:.6f};crossings={crossings};peak={int(x.max())}"
+    times = hashlib.sha256(",".join(f"{t:.6f}" for t in media.times).encode()).hexdigest()[:16]
+    return f"pages={media.pages};packets={len(media.sound.packets) - 1};seconds={media.times[-1]:.6f};times={times};mean={mean:.6f};std={spread:.6f};crossings={crossings};peak={int(x.max())}"
 
 
 def store(documents: DataFrame, keep: list[str]) -> DataFrame:
     """The columns keep and media, the stored bytes of the text."""
-    return per_slice(documents, "text", keep, "media binary", lambda s: [pa.array([encode(t.encode()) for t in s.to_pylist()], pa.binary())])
+    return per_slice(documents, "text", [c for c in keep if c.lower() != "media"], "media binary", lambda s: [pa.array([encode(t.encode()) for t in s.to_pylist()], pa.binary())])
 
 
 def describe(stored: DataFrame, keep: list[str]) -> DataFrame:
     """The columns keep and what is read back from media: lengths, digests and features."""
+    added = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    made = StructType.fromDDL(added)
+    keep = [c for c in keep if c.lower() not in {*made.names, "media"}]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,11 +208,11 @@ def describe(stored: DataFrame, keep: list[str]) -> DataFrame:
                 data = value.as_py()
                 m = read(data)
                 rows.append((m.n_bytes, len(m.payload), hashlib.sha256(m.payload).hexdigest(), zlib.crc32(m.payload[-BLOCK:]), len(data), hashlib.sha256(data).hexdigest(), feature(m)))
+            settle()
             columns = list(zip(*rows)) or [()] * 7
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *[pa.array(list(c), k) for c, k in zip(columns, kinds)]], names=names)
 
-    added = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    schema = StructType([stored.schema[c] for c in keep] + StructType.fromDDL(added).fields)
+    schema = StructType([stored.schema[c] for c in keep] + made.fields)
     names = schema.names
     return stored.select(*[f"`{c}`" for c in keep], "media").mapInArrow(run, schema)

@@ -3,14 +3,16 @@
 Base spans (email, ip, card, phone) are all matches of their pattern that pass its check. High-recall generators propose further
 candidates: secrets, account and other long numbers, groups of digits inside longer runs, bank account codes and disguised e-mail addresses. Each candidate gets
 features of its format and of the words around it; gradient-boosted trees score them, and a candidate whose calibrated chance
-reaches its kind's threshold is a span, unless a base span covers part of it. The trees are fitted once in a session, on generated
-examples (TRAIN_ROWS, a fixed number) that pass through the same feature expressions, and are compiled to one Column.
+reaches its kind's threshold is a span, unless a base span covers part of it; of candidates that overlap the likeliest stays. The
+trees are fitted once in a session, on generated examples (TRAIN_ROWS, a fixed number) that pass through the same feature
+expressions, and are compiled to one Column; calibration and thresholds come from a third of the examples that no tree has seen.
 
 Repetitions are written so that Java's matcher neither recurses nor backtracks over long runs: a separator inside an address or a
 number is first replaced by a private-use character of the same length, and then a plain class of characters matches the run.
 
 Offsets are code points, ends are exclusive. Defined results: a null text counts as empty and has no spans; redact() leaves it
-null; repeated rows each get their row; other columns pass through redact().
+null; repeated rows each get their row; of equally likely candidates that overlap (ties) the first, then the longest stays; very
+long texts are searched whole; an empty table gives an empty result; other columns pass through redact(), whatever their names.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm import boost
+from leafmill.llm.common import columns_of
 
 BASE = ("email", "ip", "card", "phone")
 EXTRA = ("secret", "number", "grouped", "iban", "address")
@@ -35,7 +38,7 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = rf"[0-9][0-9{_SEP}]++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 GENERATORS = {
-    "secret": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,63}[0-9])[A-Za-z0-9+/_=-]{16,}+",
+    "secret": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{16,}+",
     "number": r"(?<![0-9])[0-9][0-9 ().-]{5,}[0-9]",
     "grouped": r"(?<![0-9])(?:[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}|\(?[0-9]{3}\)?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4})(?![0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){10,30}(?![A-Za-z0-9])",
@@ -210,7 +213,7 @@ def fit(spark: SparkSession, n: int = TRAIN_ROWS, precision: float = 0.5) -> tup
     model = boost.fit(x[~cal], y[~cal], x[cal], y[cal], trees=30, depth=4)
     raw = model.raw(x)
     chance = np.interp(raw, model.knots, model.levels)
-    least = {k: float(raw[(kinds == k) & (chance > precision)].min(initial=np.inf)) for k in EXTRA}
+    least = {k: float(raw[cal & (kinds == k) & (chance > precision)].min(initial=np.inf)) for k in EXTRA}
     _models[n] = (model, least)
     return _models[n]
 
@@ -247,29 +250,34 @@ def _checked(kind: str) -> Column:
     return F.filter(F.col(f"_at_{kind}"), lambda x: _valid(kind, x["v"]))
 
 
-def spans(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with _lm_base and _lm_extra: spans (kind, s, e) by kind as listed and start."""
+def _spanned(df: DataFrame, text: str = "text") -> DataFrame:
+    """_kept (the row), _text, and _lm_base and _lm_extra: spans (kind, s, e) by kind as listed and start. The row is packed, so that no column of it meets one of ours."""
     model, least = fit(df.sparkSession)
-    kept = df.columns
-    got = _with_candidates(df.withColumn("_text", F.coalesce(F.col(f"`{text}`"), F.lit(""))))
+    inner = df.select(F.struct(*columns_of(df)).alias("_kept"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
+    got = _with_candidates(inner)
     named = lambda k: F.transform(F.col(f"_at_{k}"), lambda x: F.struct(F.lit(k).alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
-    got = got.withColumns({"_lm_base": F.concat(*[named(k) for k in BASE])} | {f"_c_{k}": _proposed(F.col("_text"), k) for k in EXTRA})
+    got = got.withColumns({"_lm_base": F.concat(*[named(k) for k in BASE])} | {f"_c_{k}": F.when(F.size(f"_at_{k}") > 0, _proposed(F.col("_text"), k)) for k in EXTRA})
     scored = lambda k: F.transform(F.col(f"_c_{k}"), lambda x: F.struct(F.lit(k).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), _compiled(model, x["f"]).alias("p")))
     chosen = lambda k: F.filter(scored(k), lambda x: (x["p"] >= least[k]) & ~F.exists(F.col("_lm_base"), lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
     got = got.withColumn("_chosen", F.concat(*[F.when(F.size(f"_c_{k}") > 0, chosen(k)).otherwise(_empty("array<struct<kind:string,s:int,e:int,p:double>>")) for k in EXTRA]))
-    # Of candidates that overlap, the first in (start, longest) order stays.
-    placed = F.array_sort(F.transform("_chosen", lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), x["kind"].alias("kind"))))
+    # Of candidates that overlap the likeliest stays, of equals the first, then the longest.
+    ranked = F.array_sort(F.transform("_chosen", lambda x: F.struct((-x["p"]).alias("p"), x["s"].alias("s"), (-x["e"]).alias("e"), x["kind"].alias("kind"))))
     kind_of = "array<struct<kind:string,s:int,e:int>>"
 
-    def sweep(acc: Column, x: Column) -> Column:
-        free = x["s"] >= acc["at"]
-        own = F.array(F.struct(x["kind"].alias("kind"), x["s"].alias("s"), (-x["e"]).alias("e")))
-        return F.struct(F.when(free, -x["e"]).otherwise(acc["at"]).alias("at"), F.when(free, F.concat(acc["out"], own)).otherwise(acc["out"]).alias("out"))
+    def taken(acc: Column, x: Column) -> Column:
+        free = ~F.exists(acc, lambda y: (y["s"] < -x["e"]) & (x["s"] < y["e"]))
+        return F.when(free, F.concat(acc, F.array(F.struct(x["kind"].alias("kind"), x["s"].alias("s"), (-x["e"]).alias("e"))))).otherwise(acc)
+
+    picked = F.when(F.size("_chosen") > 0, F.aggregate(ranked, _empty(kind_of), taken)).otherwise(_empty(kind_of))
+    placed = F.transform(F.array_sort(F.transform("_picked", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind")))), lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
+    got = got.withColumn("_picked", picked).withColumn("_swept", F.when(F.size("_picked") > 1, placed).otherwise(F.col("_picked")))
+    return got.withColumn("_lm_extra", F.concat(*[_of_kind(k) for k in EXTRA])).select("_kept", "_text", "_lm_base", "_lm_extra")
+
 
-    swept = F.aggregate(placed, F.struct(F.lit(0).alias("at"), _empty(kind_of).alias("out")), sweep, lambda acc: acc["out"])
-    by_kind = F.concat(*[_of_kind(k) for k in EXTRA])
-    got = got.withColumn("_swept", F.when(F.size("_chosen") > 0, swept).otherwise(_empty(kind_of))).withColumn("_lm_extra", by_kind)
-    return got.select(*[F.col(f"`{c}`") for c in kept], "_lm_base", "_lm_extra")
+def spans(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with _lm_base and _lm_extra, spans (kind, s, e) by kind as listed and start, in place of any columns so named."""
+    kept = [F.col("_kept").getField(c).alias(c) for c in df.columns if c.lower() not in ("_lm_base", "_lm_extra")]
+    return _spanned(df, text).select(*kept, "_lm_base", "_lm_extra")
 
 
 def _of_kind(kind: str) -> Column:
@@ -289,7 +297,7 @@ def find(documents: DataFrame) -> DataFrame:
 
 def redact(documents: DataFrame) -> DataFrame:
     """documents with every span replaced by its kind in angle brackets; overlapping spans become one, named by the first. n_chars follows a changed text."""
-    got = spans(documents)
+    got = _spanned(documents)
     placed = F.array_sort(F.transform(F.concat("_lm_base", "_lm_extra"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))))
     of = "array<struct<s:int,e:int,kind:string>>"
 
@@ -300,12 +308,18 @@ def redact(documents: DataFrame) -> DataFrame:
         return F.when(overlaps, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(x)))
 
     got = got.withColumn("_placed", placed).withColumn("_merged", F.when(F.size("_placed") > 0, F.aggregate("_placed", _empty(of), merge)))
-    text, merged = F.col("text"), F.col("_merged")
+    text, merged = F.col("_text"), F.col("_merged")
     before = lambda i: F.when(i > 0, F.get(merged, i - 1)["e"]).otherwise(0)
     pieces = F.transform(merged, lambda x, i: F.concat(F.substring(text, before(i) + 1, x["s"] - before(i)), F.lit("<"), F.upper(x["kind"]), F.lit(">")))
     tail = F.substring(text, F.element_at(merged, -1)["e"] + 1, F.length(text))
     got = got.withColumn("_new", F.when(merged.isNotNull(), F.concat(F.array_join(pieces, ""), tail)))
-    out = got.withColumn("text", F.coalesce("_new", "text"))
-    if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_new").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(documents.schema["n_chars"].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in documents.columns])
+    kept = lambda c: F.col("_kept").getField(c)
+
+    def shown(c: str) -> Column:
+        if c == "text":
+            return F.coalesce(F.col("_new"), kept(c))
+        if c == "n_chars":
+            return F.when(F.col("_new").isNull(), kept(c)).otherwise(F.length("_new")).cast(documents.schema[c].dataType)
+        return kept(c)
+
+    return got.select(*[shown(c).alias(c) for c in documents.columns])

@@ -22,8 +22,8 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     folder = f"{shared_dir(spark)}/warc"
-    manifest = warc.write(table(spark, sf_dir, "pages"), folder)
-    return warc.read(manifest, folder).drop("url")
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    return warc.read(spark, folder).drop("url")
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,12 +5,14 @@ Features of a text: densities of a lexicon and of its weights, hits near a secon
 size. The lexicon is learned: words that mark toxic documents among the labelled ones that may be learned from. Labels, language,
 source and doc_id are no inputs.
 
-Fitted on at most about MAX_TRAIN_DOCS labelled documents, picked by a hash. The trees see features by a lexicon of the other half
-of these documents; a quarter is kept for calibration. A lexicon has MAX_LEXICON words at most.
+Fitted on at most about MAX_TRAIN_DOCS labelled documents, picked by a hash; a document of several rows is learned from once. The
+trees see features by a lexicon of the other half of these documents; a quarter is kept for calibration. A lexicon holds all words
+whose log-odds pass LEAST_Z deviations and LEAST_ODDS.
 
 Defined results: null and empty texts are scored on zero features; without labels of both classes every score is the observed
-share (0 without labels); several labels of one document count as toxic if any does; null labels are not learned from; repeated
-rows each get their row; extra columns pass through score() if kept.
+share (0 without labels); several labels of one document count as toxic if any does; null labels are not learned from; very long
+texts are scored whole; repeated rows each get their row, and equal texts (ties) equal scores; an empty table gives an empty
+result; extra columns pass through score() if kept, whatever their names, but that score takes the place of one so named.
 """
 
 from __future__ import annotations
@@ -26,10 +28,11 @@ from pyspark.sql import functions as F
 
 from leafmill.llm import boost
 from leafmill.llm.bytewords import ALNUM, LOWER, Words, raw, words
-from leafmill.llm.common import held_out, materialize, per_slice, text_slices
+from leafmill.llm.common import held_out, materialize, per_slice, settle, text_slices
 
 MAX_TRAIN_DOCS = 24_000
-MAX_LEXICON = 400
+#: What sets a word of the lexicon apart: log-odds over their deviation, log-odds, and toxic documents that hold it.
+LEAST_Z, LEAST_ODDS, LEAST_DOCS = 3.0, 2.0, 3
 #: Words to each side in which a second-person pronoun counts as near.
 REACH = 3
 #: Second-person pronouns of the languages at hand (fixed values).
@@ -149,6 +152,7 @@ def _document_counts(sample: DataFrame) -> DataFrame:
                 data, owner = w.low.tobytes(), w.owner().tolist()
                 seen = {(d, data[a:b]) for d, a, b in zip(owner, w.start.tolist(), w.end.tolist())}
                 counts.update((word, kind[first + d]) for d, word in seen)
+            settle()
             if counts:
                 columns = [pa.array([k[0].decode() for k in counts]), *[pa.array([k[1][i] for k in counts], pa.int32()) for i in (0, 1)], pa.array(list(counts.values()), pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["word", "half", "toxic", "n"])
@@ -156,7 +160,7 @@ def _document_counts(sample: DataFrame) -> DataFrame:
     return sample.select("half", "toxic", "text").mapInArrow(run, "word string, half int, toxic int, n long").groupBy("word", "half", "toxic").agg(F.sum("n").alias("n"))
 
 
-def _learn_lexicon(counts: DataFrame, sizes: dict[tuple[int, int], int], halves: tuple[int, ...], most: int) -> Lexicon:
+def _learn_lexicon(counts: DataFrame, sizes: dict[tuple[int, int], int], halves: tuple[int, ...], least_z: float) -> Lexicon:
     """Words whose share among the halves' toxic documents exceeds that among the others by far, by the log-odds over their deviation."""
     bad, good = (sum(sizes.get((h, k), 0) for h in halves) for k in (1, 0))
     if not bad or not good:
@@ -165,12 +169,12 @@ def _learn_lexicon(counts: DataFrame, sizes: dict[tuple[int, int], int], halves:
     both = counts.where(F.col("half").isin(*halves)).groupBy("word").agg(n(1).alias("b"), n(0).alias("g"))
     odds = F.log((F.col("b") + 0.5) / (bad - F.col("b") + 0.5)) - F.log((F.col("g") + 0.5) / (good - F.col("g") + 0.5))
     spread = F.sqrt(1 / (F.col("b") + 0.5) + 1 / (F.col("g") + 0.5))
-    top = both.where(F.col("b") >= 3).select("word", odds.alias("w"), (odds / spread).alias("z")).where("z > 3 and w > 2").orderBy(F.desc("z"), "word").limit(most)
-    rows = top.collect()
+    top = both.where(F.col("b") >= LEAST_DOCS).select("word", odds.alias("w"), (odds / spread).alias("z")).where((F.col("z") > least_z) & (F.col("w") > LEAST_ODDS))
+    rows = sorted(top.collect(), key=lambda r: r.word)
     return Lexicon([r.word for r in rows], [float(r.w) for r in rows])
 
 
-def fit(documents: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, max_lexicon: int = MAX_LEXICON) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, least_z: float = LEAST_Z) -> Model:
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     usable = usable.groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).cast("int").alias("toxic"))
     order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
@@ -184,19 +188,22 @@ def fit(documents: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS,
     counts = materialize(_document_counts(train))
     sizes = {(r[0], r[1]): r[2] for r in train.groupBy("half", "toxic").count().collect()}
     # Each half's features come from the other half's lexicon, as those of unseen documents come from words learned elsewhere.
-    crossed = documents.sparkSession.sparkContext.broadcast([_learn_lexicon(counts, sizes, (1 - h,), max_lexicon) for h in (0, 1)])
+    crossed = documents.sparkSession.sparkContext.broadcast([_learn_lexicon(counts, sizes, (1 - h,), least_z) for h in (0, 1)])
 
     def featured(half: int) -> list:
         rows = train.where(F.col("half") == half)
-        return per_slice(rows, "text", ["doc_id", "toxic", "part"], "x array<double>", lambda s: [pa.array(list(features(s, crossed.value[half])), pa.list_(pa.float64()))]).collect()
+        made = per_slice(rows, "text", ["doc_id", "toxic", "part"], "x array<double>", lambda s: [pa.array(list(features(s, crossed.value[half])), pa.list_(pa.float64()))])
+        # One row for each document of the sample, however often it is repeated.
+        return made.groupBy("doc_id", "toxic", "part").agg(F.min("x").alias("x")).collect()
 
     rows = sorted(featured(0) + featured(1), key=lambda r: (r.doc_id, r.x))
     x = np.array([r.x for r in rows], dtype=float).reshape(len(rows), FEATURES)
     y, cal = np.array([r.toxic for r in rows], dtype=float), np.array([r.part == 0 for r in rows], dtype=bool)
-    return Model(_learn_lexicon(counts, sizes, (0, 1), max_lexicon), boost.fit(x[~cal], y[~cal], x[cal], y[cal]))
+    return Model(_learn_lexicon(counts, sizes, (0, 1), least_z), boost.fit(x[~cal], y[~cal], x[cal], y[cal]))
 
 
 def score(documents: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """The columns keep (all by default) with score, the chance of label 1."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    return per_slice(documents, "text", documents.columns if keep is None else keep, "score double", lambda s: [pa.array(shared.value.score(s), pa.float64())])
+    kept = [c for c in (documents.columns if keep is None else keep) if c.lower() != "score"]
+    return per_slice(documents, "text", kept, "score double", lambda s: [pa.array(shared.value.score(s), pa.float64())])

@@ -1,34 +1,39 @@
 """Deterministic sharded WARC writer, and a reader.
 
-Records are sorted by range of record id: exact byte sums of fixed-width id ranges give the shards, so that they hang on the data
-alone and not on samples or on how rows lie in partitions. A range that outgrows a shard is cut again by a hash. Each shard is
-sorted and rolled into files by compressed size; every record is a gzip member of its own with time zero, and headers, record ids
-and digests are made anew from the record.
-
-Commit: a task writes files under temporary names that no other attempt uses, and returns their manifest rows. The manifest is
-written as a table, which keeps the rows of one attempt of each task; then the files that it names get their final names, others
-are removed, and a marker is written last. Readers take only what the manifest lists, and check each file's SHA-256. Losing an
-executor repeats a task under new temporary names; repeating the commit finds what is already renamed.
+Records are sorted by range of record id: bytes are summed by id, and exact running sums over the sorted ids give the bounds of the
+shards, so that they hang on the data alone and not on samples or on how rows lie in partitions. An id that outgrows a shard by
+itself is cut by ranges of the digest, so that records stay sorted by id and digest across shards. Each shard is sorted and rolled
+into files by compressed size; every record is a gzip member of its own with time zero, and headers, record ids and digests are made
+anew from the record.
+
+Commit: a task writes files under temporary names that no other attempt uses, and returns their manifest rows, which are written as
+a table that keeps the rows of one attempt of each task. Then the files that it names get their final names, others are removed,
+the manifest is written into the archive, and a marker with its totals is written last. Readers open an archive by its folder: they
+ask for the marker, take what the manifest lists, and check its totals and each file's SHA-256. Losing an executor repeats a
+task under new temporary names; repeating the commit finds what is already renamed. A folder that holds anything is refused.
 
 Of records with equal payloads of REVISIT_FROM bytes at least, that with the largest id is the response; others are revisits of
 it, without payload. Smaller ones are all responses.
 
 Defined results: a null payload is empty; a null id sorts first and is written as empty and read back as null, and never is the
-response of others unless all ids are null; rows that repeat an id and payload are all responses if that id is the largest; an
-empty table gives an empty manifest; extra columns are ignored.
+response of others unless all ids are null; rows that repeat an id and payload (ties) are all responses if that id is the largest;
+very long payloads are written whole; an empty table gives an archive without records; extra columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import io
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.llm.common import materialize
@@ -38,9 +43,11 @@ REVISIT_FROM = 1000
 ROLL_BYTES = 64 << 20
 #: Least and most payload bytes of a shard.
 SHARD_BYTES = (2 << 20, 256 << 20)
-#: Id ranges whose bytes are summed for the shards.
-RANGES = 4096
+#: Tasks that write, at most; beyond it a task writes several shards.
+MAX_TASKS = 100_000
 DATE = "2020-01-01T00:00:00Z"
+#: Names in an archive's folder: the table of its files, and the marker that it is whole.
+LISTED, MARKER = "manifest", "_COMMITTED"
 MANIFEST = "shard long, seq long, temp string, final string, records long, bytes long, sha256 string"
 
 
@@ -71,27 +78,45 @@ def classified(rows: DataFrame) -> DataFrame:
 
 
 def shards_of(rows: DataFrame, shard_bytes: int | None = None) -> tuple[Column, int]:
-    """The shard of a record, as an expression of id, url and payload, and the number of shards; rows has id and n of every record.
+    """The shard of a record, as an expression of id and digest, and the number of shards; rows has id and n of every record.
 
     A shard takes a 64th of all bytes, within SHARD_BYTES, unless shard_bytes says otherwise.
     """
-    ends = rows.agg(F.min("id").alias("low"), F.max("id").alias("high"), F.sum(F.col("n") + 512).alias("bytes")).first()
-    low, high, total = (ends.low or 0), (ends.high or 0), (ends.bytes or 0)
+    low = -(1 << 63)
+    # Repeated ids are summed before they move; a null id sorts first.
+    sums = rows.groupBy(F.coalesce("id", F.lit(low).cast("long")).alias("id")).agg(F.sum(F.col("n") + 512).alias("bytes"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = materialize(sums.repartitionByRange(parts, "id").withColumn("part", F.spark_partition_id()))
+    # A row for each partition.
+    held = {r.part: r.bytes for r in laid.groupBy("part").agg(F.sum("bytes").alias("bytes")).collect()}
+    before, total = {}, 0
+    for part in sorted(held):
+        before[part], total = total, total + held[part]
+    if not total:
+        return F.lit(0).cast("long"), 1
     target = shard_bytes or min(max(total // 64, SHARD_BYTES[0]), SHARD_BYTES[1])
-    width = (high - low) // RANGES + 1
-    part = F.coalesce(F.floor((F.col("id") - F.lit(low)) / F.lit(width)), F.lit(0)).cast("int")
-    # One row for each range at most.
-    sizes = {r.part: r.bytes for r in rows.groupBy(part.alias("part")).agg(F.sum(F.col("n") + 512).alias("bytes")).collect()}
-    first, pieces, shard, held = [0] * RANGES, [1] * RANGES, 0, 0
-    for k in range(RANGES):
-        size = sizes.get(k, 0)
-        if held and held + size > target:
-            shard, held = shard + 1, 0
-        first[k], pieces[k] = shard, max(1, -(-size // target))
-        shard, held = shard + pieces[k] - 1, (held + size) if pieces[k] == 1 else target
-    own = lambda table: F.get(F.array(*[F.lit(x) for x in table]), part)
-    cut = F.pmod(F.xxhash64("url", "payload", "id"), own(pieces).cast("long")) if max(pieces) > 1 else F.lit(0)
-    return own(first).cast("long") + cut, shard + 1
+    offset = F.create_map(*[F.lit(x) for part, n in before.items() for x in (part, n)])[F.col("part")]
+    own = Window.partitionBy("part").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    placed = laid.withColumn("at", offset + F.coalesce(F.sum("bytes").over(own), F.lit(0)))
+    heavy = F.col("bytes") > target
+    # The first id of each stretch of target bytes, and ids that outgrow a shard: as many rows as there are shards at most.
+    starts = placed.where(~heavy).groupBy(F.floor(F.col("at") / target).alias("k")).agg(F.min("id").alias("id")).select("id", F.lit(0).cast("long").alias("bytes"))
+    bounds: dict[int, int] = {low: 1}
+    for r in starts.union(placed.where(heavy).select("id", "bytes")).collect():
+        bounds[r.id] = max(1, -(-r.bytes // target))
+        if r.bytes:
+            bounds.setdefault(r.id + 1, 1)
+    ids = sorted(bounds)
+    pieces = [bounds[i] for i in ids]
+    first = np.concatenate(([0], np.cumsum(pieces)))[:-1].tolist()
+    listed = lambda values: F.from_json(F.lit(json.dumps(values)), "array<long>")  # noqa: E731  one constant
+    steps = F.array(*[F.lit(1 << k) for k in range(len(ids).bit_length() - 1, -1, -1)])
+    value = F.coalesce("id", F.lit(low).cast("long"))
+    place = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.coalesce(F.get(listed(ids), at + step) <= value, F.lit(False)), at + step).otherwise(at))
+    cut = F.lit(0).cast("long")
+    if max(pieces) > 1:
+        cut = F.floor(F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") * F.get(listed(pieces), place) / F.lit(1 << 32)).cast("long")
+    return F.get(listed(first), place) + cut, sum(pieces)
 
 
 def record_id(page: str, digest: str, kind: str) -> str:
@@ -145,13 +170,14 @@ class _Roller:
 
 
 def write(pages: DataFrame, folder: str, roll: int = ROLL_BYTES, shard_bytes: int | None = None, record_id: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
-    """Write pages as WARC files into a shared folder and commit them; the manifest is returned."""
+    """Write pages as WARC files into a new shared folder and commit them; the manifest is returned."""
     rows = _rows(pages, record_id, url, payload)
-    shard, shards = shards_of(rows, shard_bytes)
     fs, path = _filesystem(folder)
     fs.create_dir(path, recursive=True)
-    most = 16 * int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = classified(rows.withColumn("shard", shard)).repartition(min(2 * shards, most), "shard").sortWithinPartitions("shard", "id", "digest", "url")
+    if fs.get_file_info(pafs.FileSelector(path)):
+        raise FileExistsError(f"{folder} holds something already; an archive goes to a folder of its own")
+    shard, shards = shards_of(rows, shard_bytes)
+    ordered = classified(rows).withColumn("shard", shard).repartition(min(2 * shards, MAX_TASKS), "shard").sortWithinPartitions("shard", "id", "digest", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller, done = None, []
@@ -191,8 +217,27 @@ def commit(manifest: DataFrame, folder: str) -> None:
     for info in fs.get_file_info(pafs.FileSelector(path)):
         if info.base_name.startswith(".tmp-"):
             fs.delete_file(info.path)
-    with fs.open_output_stream(f"{path}/_COMMITTED") as out:
-        out.write(b"")
+    manifest.select("final", "shard", "seq", "records", "bytes", "sha256").write.mode("overwrite").json(f"{folder}/{LISTED}")
+    with fs.open_output_stream(f"{path}/{MARKER}") as out:
+        out.write(json.dumps(_totals(manifest)).encode())
+
+
+def _totals(manifest: DataFrame) -> dict[str, int]:
+    got = manifest.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("records"), F.lit(0)).alias("records"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    return got.asDict()
+
+
+def listed(spark: SparkSession, folder: str) -> DataFrame:
+    """The manifest of a committed archive: final, shard, seq, records, bytes and sha256 of each file."""
+    fs, path = _filesystem(folder)
+    if fs.get_file_info(f"{path}/{MARKER}").type == pafs.FileType.NotFound:
+        raise FileNotFoundError(f"{folder} holds no committed archive")
+    with fs.open_input_stream(f"{path}/{MARKER}") as source:
+        totals = json.loads(source.read())
+    manifest = spark.read.schema("final string, shard long, seq long, records long, bytes long, sha256 string").json(f"{folder}/{LISTED}")
+    if (found := _totals(manifest)) != totals:
+        raise ValueError(f"the manifest of {folder} lists {found}; {totals} were committed")
+    return manifest
 
 
 def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -237,8 +282,9 @@ class _Members(io.RawIOBase):
         return n
 
 
-def read(manifest: DataFrame, folder: str) -> DataFrame:
-    """page_id, url, payload_bytes, payload_digest, record_type and refers_to of every record of the manifest's files; digests of responses are those of the bytes read."""
+def read(spark: SparkSession, folder: str) -> DataFrame:
+    """page_id, url, payload_bytes, payload_digest, record_type and refers_to of every record of a committed archive; digests of responses are those of the bytes read."""
+    manifest = listed(spark, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = _filesystem(folder)

@@ -35,3 +35,81 @@ def test_words_beat_ngrams_and_ngrams_back_off(spark, docs):
 def test_without_training_rows(spark, docs):
     assert langid.identify(docs(["a text"]), langid.fit(docs([])), ["doc_id"]).first().lang_pred == "und"
     assert langid.identify(docs([]), langid.fit(docs(["a b c"] * 9)), ["doc_id"]).collect() == []
+
+
+def brute_model(texts, langs, least):
+    """Words and n-grams by plain counting, for a model that is read once more in the plainest way."""
+    import math
+    import re
+    from collections import Counter
+
+    names = sorted(set(langs))
+    words = Counter((k, w) for t, k in zip(texts, langs) for w in re.findall(r"[a-z\x80-\U0010ffff]+", t.lower()))
+    grams = Counter()
+    for (k, w), n in words.items():
+        e = f"^{w}$"
+        for size in langid.ORDERS:
+            for i in range(len(e) - size + 1):
+                grams[k, e[i : i + size]] += n
+    every = lambda c, x: sum(c[k, x] for k in names)
+    vocab = {w for _, w in words if every(words, w) >= least}
+    known = {g for _, g in grams if every(grams, g) >= least}
+    total = {k: sum(n for (j, _), n in words.items() if j == k) for k in names}
+    by_size = {(k, s): sum(n for (j, g), n in grams.items() if j == k and len(g) == s) for k in names for s in langid.ORDERS}
+    of_size = Counter(len(g) for g in known)
+
+    def word_score(w, k):
+        if w in vocab:
+            return math.log((words[k, w] + 0.1) / (max(total[k], 1) + 0.1 * (len(vocab) + 1)))
+        e, at, out = f"^{w}$", 0, 0.0
+        while at < len(e):
+            for tried, s in enumerate(langid.ORDERS):
+                g = e[at : at + s]
+                if len(g) == s and g in known:
+                    out += math.log((grams[k, g] + 0.1) / (max(by_size[k, s], 1) + 0.1 * (of_size[s] + 1))) + tried * math.log(langid.BACKOFF)
+                    at += s
+                    break
+            else:
+                out, at = out + langid.FLOOR, at + 1
+        return out
+
+    prior = {k: math.log(max(langs.count(k), 0.5) / len(langs)) for k in names}
+
+    def score(text):
+        found = re.findall(r"[a-z\x80-\U0010ffff]+", text.lower())
+        if not re.search(r"[^\W\d_]", text):
+            return "und", 0.0
+        sums = [prior[k] + sum(word_score(w, k) for w in found) for k in names]
+        calm = [math.exp((s - max(sums)) / math.sqrt(max(1, len(found)))) for s in sums]
+        best = max(range(len(names)), key=lambda i: (sums[i], -i))
+        return names[best], calm[best] / sum(calm)
+
+    return score
+
+
+def test_scores_equal_brute_force(spark, docs):
+    import random
+
+    import pyarrow as pa
+
+    r = random.Random(8)
+    alphabet = {"x": "abcdeé", "y": "cdefgh", "z": "aehkñ"}
+    word = lambda k: "".join(r.choice(alphabet[k]) for _ in range(r.randint(1, 7)))
+    common = {k: [word(k) for _ in range(15)] for k in alphabet}
+    texts, langs = [], []
+    for _ in range(120):
+        k = r.choice("xyz")
+        texts.append(" ".join(r.choice(common[k]) if r.random() < 0.7 else word(k) for _ in range(r.randint(1, 25))))
+        langs.append(k)
+    parts = [docs([t for t, k in zip(texts, langs) if k == x], [i for i, k in enumerate(langs) if k == x], lang=x) for x in "xyz"]
+    from functools import reduce
+
+    df = reduce(lambda a, b: a.union(b), parts)
+    learned = {row.doc_id for row in df.where(~held_out(F.col("doc_id"))).collect()}
+    model = langid.fit(df)
+    brute = brute_model([t for i, t in enumerate(texts) if i in learned], [k for i, k in enumerate(langs) if i in learned], langid.LEAST_COUNT)
+    asked = texts + ["", "12 !", "zzzz qqqq", "é", "a" * 300, "Abc-dÉf 9 hk"] + [" ".join(word(r.choice("xyz")) for _ in range(6)) for _ in range(40)]
+    names, scores = model.score(pa.array(asked, pa.large_string()))
+    for text, name, score in zip(asked, names, scores):
+        want = brute(text)
+        assert name == want[0] and abs(score - want[1]) < 1e-4, text

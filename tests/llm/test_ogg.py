@@ -31,6 +31,10 @@ def test_round_trip_and_damage(n):
     media = ogg.read(stored)
     assert media.payload == ogg.pad(data) and media.n_bytes == n and stored == ogg.encode(data)
     assert media.sound.granules[-1] == len(media.payload) and media.sound.granules == sorted(media.sound.granules)
+    # A page that ends a packet has the time at which its last packet ends: packets end every 4096 samples, at 8000 a second.
+    ends = [min(k, len(media.payload)) / 8000 for k in range(0, len(media.payload) + 4096, 4096)]
+    assert set(media.times) <= set(ends) and media.times[0] == 0 and media.times[-1] == len(media.payload) / 8000
+    assert len(media.times) >= len(media.payload) // (255 * 255)
     for at in random.Random(n + 1).sample(range(len(stored)), 12):
         with pytest.raises(ogg.OggError):
             ogg.read(stored[:at] + bytes([stored[at] ^ 4]) + stored[at + 1 :])

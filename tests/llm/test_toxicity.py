@@ -49,3 +49,76 @@ def test_trees_learn_an_interaction():
     y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
     model = boost.fit(x[:2000], y[:2000], x[2000:], y[2000:])
     assert ((model.predict(x) >= 0.5) == y).mean() > 0.95
+
+
+def brute_features(text, lexicon):
+    """The fourteen measures of one text, in the plainest way."""
+    import math
+    import re
+
+    weights = {w: round(x * 1024) / 1024 for w, x in zip(lexicon.words, lexicon.weights)}
+    data = text.encode()
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text)
+    words = re.findall(r"[0-9a-z\x80-\U0010ffff]+", low)
+    hits = [weights.get(w, 0.0) for w in words]
+    second = [w in toxicity.PRONOUNS for w in words]
+    near = [any(second[j] for j in range(max(0, i - 3), min(len(words), i + 4)) if j != i) for i in range(len(words))]
+    leet = str.maketrans("0134578@$!", "oieastbasi")
+    hidden = 0.0
+    for w in re.findall(r"[0-9a-z@$!*\x80-\U0010ffff]+", low):
+        if len(w.encode()) > 2 and weights.get(w, 0.0) == 0:
+            hidden += weights.get(w.translate(leet), 0.0)
+    upper = [65 <= b <= 90 for b in data]
+    letter = [u or 97 <= b <= 122 or b >= 128 for u, b in zip(upper, data)]
+    sign = [32 < b < 128 and not x and not 48 <= b <= 57 for b, x in zip(data, letter)]
+    twice = [i > 1 and data[i] == data[i - 1] == data[i - 2] and letter[i] for i in range(len(data))]
+    n, size = max(1, len(words)), max(1, len(data))
+    found = [h > 0 for h in hits]
+    return [
+        math.log1p(len(words)), sum(found) / n, sum(hits) / n, math.log1p(sum(found)), math.log1p(sum(hits)), sum(a and b for a, b in zip(found, near)) / n, sum(second) / n, math.log1p(hidden),
+        sum(upper) / max(1, sum(letter)), sum(b in b"!?" for b in data) / size, sum(sign) / size, sum(48 <= b <= 57 for b in data) / size, sum(twice) / size, sum(letter) / n,
+    ]
+
+
+def brute_score(model, x):
+    """The sum of the leaves that a row reaches, on the calibration's line."""
+    raw = model.trees.base
+    for t in model.trees.trees:
+        i = 0
+        while t.feature[i] >= 0:
+            i = t.left[i] if x[t.feature[i]] <= t.threshold[i] else t.right[i]
+        raw += t.value[i]
+    k, v = model.trees.knots.tolist(), model.trees.levels.tolist()
+    if raw <= k[0]:
+        return v[0]
+    for a, b, p, q in zip(k, k[1:], v, v[1:]):
+        if raw <= b:
+            return p + (q - p) * (raw - a) / (b - a) if b > a else q
+    return v[-1]
+
+
+def test_scores_equal_brute_force(spark, docs):
+    import random
+
+    r = random.Random(5)
+    bad, good = ["idiot", "trash", "moron", "vile"], [f"w{i}" for i in range(40)] + ["you", "are", "the"]
+    texts, marks = [], []
+    for i in range(400):
+        toxic = i % 4 == 0
+        w = [r.choice(good) for _ in range(r.randint(3, 30))]
+        if toxic:
+            for _ in range(r.randint(1, 4)):
+                w.insert(r.randrange(len(w)), r.choice(bad))
+            w.append(r.choice(["!!!", "YOU", "1d10t", "m0ron"]))
+        texts.append(" ".join(w))
+        marks.append(int(toxic))
+    df = docs(texts)
+    model = toxicity.fit(df, spark.createDataFrame(list(enumerate(marks)), "doc_id long, toxic int"))
+    assert set(bad) <= set(model.lexicon.words) and model.trees.trees
+    asked = texts[:80] + ["", "!", "ÄÖÜ äöü", "you idiot", "Y0U 1D10T!!! aaaa", "x" * 500, "trash" * 3]
+    f = toxicity.features(pa.array(asked, pa.large_string()), model.lexicon)
+    scores = model.score(pa.array(asked, pa.large_string()))
+    for i, t in enumerate(asked):
+        want = brute_features(t, model.lexicon)
+        assert np.allclose(f[i], want, atol=1e-9), (t, f[i], want)
+        assert abs(scores[i] - min(1.0, max(0.0, brute_score(model, f[i])))) < 1e-9, t

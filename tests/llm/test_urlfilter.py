@@ -60,3 +60,24 @@ def test_empty(spark):
     assert urlfilter.judge(none, urlfilter.listed_table(spark)).collect() == []
     one = spark.createDataFrame([(1, "http://a.org/")], "page_id long, url string")
     assert urlfilter.judge(one, urlfilter.listed_table(spark, (), ())).first().verdict == "allow"
+
+
+def test_a_long_list_filters_before_anything_moves(spark):
+    listed = spark.range(200_000).selectExpr("concat('h', id, '.net/') AS key", "'block' AS action", "false AS is_rule")
+    bloom = urlfilter.Filter(listed)
+    assert bloom.n_words * 64 >= 16 * 200_000
+    other = spark.range(200_000, 220_000).select(F.concat(F.lit("h"), "id", F.lit(".net/")).alias("key"))
+    assert other.where(bloom.may_hold(F.col("key"))).count() < 0.02 * 20_000
+    own = listed.where(bloom.may_hold(F.col("key")))
+    assert own.count() == 200_000
+    df = spark.createDataFrame([(i, f"http://h{i}.net/x") for i in range(199_990, 200_010)], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in urlfilter.judge(df, listed).collect()}
+    assert got == {i: "block" if i < 200_000 else "allow" for i in range(199_990, 200_010)}
+
+
+def test_plan_probes_below_every_exchange(spark):
+    df = spark.createDataFrame([(1, "http://a.org/")], "page_id long, url string")
+    plan = urlfilter.judge(df, urlfilter.listed_table(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+    first = urlfilter.judge(df, urlfilter.listed_table(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert first.startswith("Union")
