@@ -58,18 +58,21 @@ class Scratch:
         self.spark, self.name, self.folders = spark, name, []
 
     def keep(self, df: DataFrame) -> DataFrame:
-        self.folders.append(shared_folder(self.spark, self.name))
-        return _written(df, self.folders[-1])
-
-    def tidy(self) -> None:
-        """Let the driver forget finished plans, so that Spark removes their shuffle files now and not when memory happens to run short."""
+        folder = shared_folder(self.spark, self.name)
+        out = _written(df, folder)
+        self.folders.append((folder, out))
+        return out
+
+    def tidy(self, *done: DataFrame) -> None:
+        """Remove tables that are done with, and let the driver forget finished plans, so that Spark removes their shuffle files now and not when memory happens to run short."""
+        for folder, df in self.folders:
+            if any(df is d for d in done):
+                dropped(self.spark, folder)
+        self.folders = [(f, df) for f, df in self.folders if not any(df is d for d in done)]
         self.spark.sparkContext._jvm.System.gc()
 
     def clear(self) -> None:
-        for folder in self.folders:
-            dropped(self.spark, folder)
-        self.folders = []
-        self.tidy()
+        self.tidy(*[df for _, df in self.folders])
 
 
 @contextlib.contextmanager
