@@ -62,7 +62,7 @@ def test_records_are_in_order_and_whole_members(spark, tmp_path):
     # Two ids lie so far out that ranges of equal width would hold all others in one.
     far = [(-(2**62), "http://low", "low " * 300, "e"), (2**62, "http://high", "high " * 300, "e")]
     manifest = warc.write(pages(spark, rows() + far), f"file://{folder}", shard_bytes=20_000)
-    assert len({r.shard for r in manifest.collect()}) > 10
+    assert len({r.shard for r in manifest.collect()}) > 6
     ids = []
     for r in sorted(manifest.collect(), key=lambda r: r.final):
         for fields, block in warc.parse(io.BytesIO(gzip.decompress(Path(folder, r.final).read_bytes()))):
