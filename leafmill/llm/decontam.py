@@ -115,11 +115,12 @@ def _word_runs(w: Words, hit: np.ndarray, d: int) -> list[int]:
 _MADE = "_lm_words long, _lm_runs array<long>, _lm_items array<string>"
 
 
-def _found(documents: DataFrame, benchmark: DataFrame, keep: list[str], window: int, max_bytes: int) -> DataFrame:
-    """The columns keep with _lm_words (number of words), _lm_runs (runs of hit words) and _lm_items (sorted ids) of every document."""
+def _found(documents: DataFrame, benchmark: DataFrame, keep: list[str], window: int, max_bytes: int, cut: bool = False) -> DataFrame:
+    """The columns keep with _lm_words (number of words), _lm_runs (runs of hit words) and _lm_items (sorted ids) of every document; if cut, also _lm_new, the text without the runs (null where there are none)."""
     items = _items(benchmark)
     if (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > max_bytes:
-        return _joined(documents, items, keep, window)
+        found = _joined(documents, items, keep, window)
+        return _with_cuts(found) if cut else found
     # At most max_bytes of text come to the driver.
     shared = documents.sparkSession.sparkContext.broadcast(WindowSet([tuple(r) for r in items.distinct().collect()], window))
 
@@ -127,9 +128,10 @@ def _found(documents: DataFrame, benchmark: DataFrame, keep: list[str], window:
         w = words(strings, ALNUM)
         hit, found = shared.value.hits(w)
         runs = [_word_runs(w, hit, d) if found[d] else [] for d in range(len(strings))]
-        return [pa.array(w.counts, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array([sorted(x) for x in found], pa.list_(pa.string()))]
+        out = [pa.array(w.counts, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array([sorted(x) for x in found], pa.list_(pa.string()))]
+        return [*out, pa.array([cut_runs(strings[d].as_py(), w, hit, d) if runs[d] else None for d in range(len(strings))], pa.string())] if cut else out
 
-    return per_slice(documents, "text", keep, _MADE, work)
+    return per_slice(documents, "text", keep, _MADE + ", _lm_new string" * cut, work)
 
 
 def _windows(w: Words, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -225,23 +227,29 @@ def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_
     # Columns go by number inside, so that no name of theirs meets one of ours.
     held = {c: "text" if c == "text" else f"_k{i}" for i, c in enumerate(documents.columns)}
     named = documents.select(*[F.col(f"`{c}`").alias(k) for c, k in held.items()])
-    got = _found(named, benchmark, named.columns, window, max_bytes)
+    got = _found(named, benchmark, named.columns, window, max_bytes, cut=True)
     kept = got.where(_covered("_lm_runs") <= max_share * F.col("_lm_words"))
+    changed = F.col("_lm_new").isNotNull()
+    shown = {"text": F.coalesce("_lm_new", "text")}
+    if "n_chars" in held:
+        shown["n_chars"] = F.when(changed, F.length("_lm_new")).otherwise(F.col(held["n_chars"])).cast(documents.schema["n_chars"].dataType)
+    return kept.select(*[shown.get(c, F.col(k)).alias(c) for c, k in held.items()])
+
+
+def _with_cuts(found: DataFrame) -> DataFrame:
+    """found with _lm_new."""
+    schema = StructType([*found.schema.fields, *StructType.fromDDL("_lm_new string").fields])
+    at, runs_at = found.columns.index("text"), found.columns.index("_lm_runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            for i, runs in enumerate(batch.column(len(names)).to_pylist()):
-                if runs:
-                    w = words(pa.array([texts[i]], pa.large_string()), ALNUM)
-                    texts[i] = cut_runs(texts[i], w, _flags(len(w.start), runs), 0)
-            changed = pa.array(texts, batch.column(at).type)
-            yield pa.RecordBatch.from_arrays([changed if k == at else batch.column(k) for k in range(len(names))] + [batch.column(len(names))], names=[*names, "_lm_runs"])
-
-    names = named.columns
-    at = names.index("text")
-    schema = StructType([*named.schema.fields, got.schema["_lm_runs"]])
-    out = kept.select(*names, "_lm_runs").mapInArrow(run, schema)
-    if "n_chars" in held:
-        out = out.withColumn(held["n_chars"], F.when(F.size("_lm_runs") == 0, F.col(held["n_chars"])).otherwise(F.length("text")).cast(documents.schema["n_chars"].dataType))
-    return out.select(*[F.col(k).alias(c) for c, k in held.items()])
+            new = []
+            for text, runs in zip(batch.column(at), batch.column(runs_at).to_pylist()):
+                if not runs:
+                    new.append(None)
+                    continue
+                w = words(pa.array([text.as_py()], pa.large_string()), ALNUM)
+                new.append(cut_runs(text.as_py(), w, _flags(len(w.start), runs), 0))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, pa.string())], names=schema.names)
+
+    return found.mapInArrow(run, schema)
