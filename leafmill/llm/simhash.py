@@ -198,8 +198,8 @@ def label_components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame] =
 
 def _by_fingerprint(docs: DataFrame, least: Column, own: Scratch) -> DataFrame:
     """fp and least (the least of all documents' values in its component) of each fingerprint of docs."""
-    groups = own.keep(docs.groupBy("fp").agg(least.alias("least")))
-    labels = label_components(links(groups.select("fp"), keep=own.keep), own.keep)
+    groups = own.slim(docs.groupBy("fp").agg(least.alias("least")))
+    labels = label_components(links(groups.select("fp"), keep=own.keep), own.slim)
     named = groups.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     return named.join(named.groupBy("label").agg(F.min("least").alias("first")), "label").select("fp", "first")
 
