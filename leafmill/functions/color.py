@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -28,24 +28,41 @@ def to_lab(color: Column) -> Column:
 
 
 def distance(p: Column, q: Column) -> Column:
-    """CIEDE2000 between two Lab structs, after Sharma, Wu and Dalal (2005)."""
-    c1, c2 = F.hypot(p["a"], p["b"]), F.hypot(q["a"], q["b"])
-    mean7 = F.pow((c1 + c2) / 2, F.lit(7.0))
-    g = 0.5 * (1 - F.sqrt(mean7 / (mean7 + 25.0**7)))
-    a1, a2 = (1 + g) * p["a"], (1 + g) * q["a"]
-    d1, d2 = F.hypot(a1, p["b"]), F.hypot(a2, q["b"])
-    angle = lambda y, x: F.when((y == 0) & (x == 0), 0.0).otherwise(F.pmod(F.degrees(F.atan2(y, x)), F.lit(360.0)))
-    h1, h2 = angle(p["b"], a1), angle(q["b"], a2)
-    gap = h2 - h1
-    turn = F.when(d1 * d2 == 0, 0.0).when(gap > 180, gap - 360).when(gap < -180, gap + 360).otherwise(gap)
-    dl, dc = q["l"] - p["l"], d2 - d1
-    dh = 2 * F.sqrt(d1 * d2) * F.sin(F.radians(turn / 2))
-    lm, cm = (p["l"] + q["l"]) / 2, (d1 + d2) / 2
-    hm = F.when(d1 * d2 == 0, h1 + h2).when(F.abs(gap) <= 180, (h1 + h2) / 2).when(h1 + h2 < 360, (h1 + h2 + 360) / 2).otherwise((h1 + h2 - 360) / 2)
+    """CIEDE2000 between two Lab structs, after Sharma, Wu and Dalal (2005). p and q are best plain columns, as they stand in many places; with_distance() sees to that."""
+    parts: dict[str, Column] = {"p": p, "q": q}
+    for _, made in _steps():
+        parts |= {n: f(parts) for n, f in made.items()}
+    return parts["distance"]
+
+
+def with_distance(df: DataFrame, a: str, b: str, name: str = "distance") -> DataFrame:
+    """df with the CIEDE2000 distance of its #rrggbb columns a and b, computed step by step, so that no step is written out twice."""
+    kept = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_kept")
+    out = df.select(kept, to_lab(F.col(f"`{a}`")).alias("p"), to_lab(F.col(f"`{b}`")).alias("q"))
+    for _, made in _steps():
+        out = out.withColumns({n: f({c: F.col(c) for c in out.columns}) for n, f in made.items()})
+    return out.select("_kept.*", F.col("distance").alias(name))
+
+
+def _steps() -> list[tuple[str, dict]]:
+    """The formula in its published steps; each names what the next ones read."""
     cos = lambda d: F.cos(F.radians(d))
-    t = 1 - 0.17 * cos(hm - 30) + 0.24 * cos(2 * hm) + 0.32 * cos(3 * hm + 6) - 0.20 * cos(4 * hm - 63)
-    sl = 1 + 0.015 * F.pow(lm - 50, F.lit(2.0)) / F.sqrt(20 + F.pow(lm - 50, F.lit(2.0)))
-    sc, sh = 1 + 0.045 * cm, 1 + 0.015 * cm * t
-    cm7 = F.pow(cm, F.lit(7.0))
-    rt = -2 * F.sqrt(cm7 / (cm7 + 25.0**7)) * F.sin(F.radians(60 * F.exp(-F.pow((hm - 275) / 25, F.lit(2.0)))))
-    return F.sqrt(F.pow(dl / sl, F.lit(2.0)) + F.pow(dc / sc, F.lit(2.0)) + F.pow(dh / sh, F.lit(2.0)) + rt * dc / sc * dh / sh)
+    seven = lambda c: F.sqrt(F.pow(c, F.lit(7.0)) / (F.pow(c, F.lit(7.0)) + 25.0**7))
+    angle = lambda y, x: F.when((y == 0) & (x == 0), 0.0).otherwise(F.pmod(F.degrees(F.atan2(y, x)), F.lit(360.0)))
+    turn = lambda v: F.when(v["d1"] * v["d2"] == 0, 0.0).when(v["gap"] > 180, v["gap"] - 360).when(v["gap"] < -180, v["gap"] + 360).otherwise(v["gap"])
+    mean = lambda v: F.when(v["d1"] * v["d2"] == 0, v["sum"]).when(F.abs(v["gap"]) <= 180, v["sum"] / 2).when(v["sum"] < 360, (v["sum"] + 360) / 2).otherwise((v["sum"] - 360) / 2)
+    return [
+        ("stretch of a", {"g": lambda v: 0.5 * (1 - seven((F.hypot(v["p"]["a"], v["p"]["b"]) + F.hypot(v["q"]["a"], v["q"]["b"])) / 2))}),
+        ("stretched a", {"a1": lambda v: (1 + v["g"]) * v["p"]["a"], "a2": lambda v: (1 + v["g"]) * v["q"]["a"]}),
+        ("chroma and hue", {"d1": lambda v: F.hypot(v["a1"], v["p"]["b"]), "d2": lambda v: F.hypot(v["a2"], v["q"]["b"]), "h1": lambda v: angle(v["p"]["b"], v["a1"]), "h2": lambda v: angle(v["q"]["b"], v["a2"])}),
+        ("hues together", {"gap": lambda v: v["h2"] - v["h1"], "sum": lambda v: v["h1"] + v["h2"]}),
+        ("differences and means", {"dl": lambda v: v["q"]["l"] - v["p"]["l"], "dc": lambda v: v["d2"] - v["d1"], "dh": lambda v: 2 * F.sqrt(v["d1"] * v["d2"]) * F.sin(F.radians(turn(v) / 2)), "lm": lambda v: F.pow((v["p"]["l"] + v["q"]["l"]) / 2 - 50, F.lit(2.0)), "cm": lambda v: (v["d1"] + v["d2"]) / 2, "hm": mean}),
+        ("weights", {
+            "t": lambda v: 1 - 0.17 * cos(v["hm"] - 30) + 0.24 * cos(2 * v["hm"]) + 0.32 * cos(3 * v["hm"] + 6) - 0.20 * cos(4 * v["hm"] - 63),
+            "sl": lambda v: 1 + 0.015 * v["lm"] / F.sqrt(20 + v["lm"]),
+            "sc": lambda v: 1 + 0.045 * v["cm"],
+            "rt": lambda v: -2 * seven(v["cm"]) * F.sin(F.radians(60 * F.exp(-F.pow((v["hm"] - 275) / 25, F.lit(2.0))))),
+        }),
+        ("shares", {"el": lambda v: v["dl"] / v["sl"], "ec": lambda v: v["dc"] / v["sc"], "eh": lambda v: v["dh"] / (1 + 0.015 * v["cm"] * v["t"])}),
+        ("distance", {"distance": lambda v: F.sqrt(F.greatest(F.lit(0.0), F.pow(v["el"], F.lit(2.0)) + F.pow(v["ec"], F.lit(2.0)) + F.pow(v["eh"], F.lit(2.0)) + v["rt"] * v["ec"] * v["eh"]))}),
+    ]

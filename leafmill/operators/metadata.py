@@ -63,9 +63,10 @@ def is_fake_author(name: Column) -> Column:
     return ~name.rlike(r"\p{L}") | F.exists(words, lambda w: w.isin(*NO_AUTHORS))
 
 
-def language_vote(documents: DataFrame, within: int = 10_000, least: int = 50) -> DataFrame:
-    """doc_id, language and votes: the language whose words are most among the first within characters; none under least characters or without votes; ties go to the first by name."""
-    words = F.regexp_extract_all(F.lower(F.substring("text", 1, within)), F.lit(r"\p{L}+"), F.lit(0))
+def language_vote(documents: DataFrame, within: int | None = 10_000, least: int = 50) -> DataFrame:
+    """doc_id, language and votes: the language whose words are most among the first within characters (all of them if within is None); none under least characters or without votes; ties go to the first by name."""
+    seen = F.col("text") if within is None else F.substring("text", 1, within)
+    words = F.regexp_extract_all(F.lower(seen), F.lit(r"\p{L}+"), F.lit(0))
     counts = F.array(*[F.struct(_votes(own).alias("n"), F.lit(code).alias("code")) for code, own in sorted(LANGUAGE_WORDS.items())])
     got = documents.select("doc_id", F.length("text").alias("_n"), words.alias("_w")).withColumn("_v", counts)
     best = F.array_sort(F.transform("_v", lambda v: F.struct((-v["n"]).alias("n"), v["code"].alias("code"))))

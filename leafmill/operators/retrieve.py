@@ -33,12 +33,14 @@ def bm25(chunks: DataFrame, queries: DataFrame, corpus: list[str], key: str = "c
     few and picked first, so only their rows of the term table are joined.
     """
     by = [*corpus, key]
-    sized = chunks.select(*by, F.size(tx.search_terms("text")).alias("len"))
-    stats = sized.groupBy(*corpus).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
-    asked = queries.select("query_id", F.explode(F.array_distinct(tx.search_terms("text"))).alias("term"))
-    found = term_counts(chunks, by).join(asked.select("term").distinct(), "term", "left_semi")
+    asked = staged(queries.select("query_id", F.explode(F.array_distinct(tx.search_terms("text"))).alias("term")))
+    lists = chunks.select(*by, tx.search_terms("text").alias("_t"))
+    stats = lists.groupBy(*corpus).agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("_t")).alias("avg_len"))
+    # A chunk's length goes along with its terms, so that no join brings it back.
+    terms = lists.select(*by, F.size("_t").alias("len"), F.explode("_t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    found = staged(terms.groupBy(*by, "len", "term").agg(F.count(F.lit(1)).alias("tf")))
     df = found.groupBy(*corpus, "term").agg(F.count(F.lit(1)).alias("df"))
-    joined = found.join(df, [*corpus, "term"]).join(sized, by)
+    joined = found.join(df, [*corpus, "term"])
     joined = joined.join(stats, corpus) if corpus else joined.crossJoin(F.broadcast(stats))  # one row
     avg = F.when(F.col("avg_len") == 0, 1.0).otherwise(F.col("avg_len"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -56,10 +58,14 @@ def literal_pattern(query: Column) -> Column:
 
 
 def literal_hits(chunks: DataFrame, queries: DataFrame, corpus: list[str], key: str = "chunk_index") -> DataFrame:
-    """query_id, corpus columns and key of chunks that hold a query as it stands. A chunk must share the query's longest term, so candidates come from a join; a query of stop words alone has none."""
-    q = queries.withColumn("_terms", tx.search_terms("text")).withColumn("term", F.get(F.array_sort(F.transform("_terms", lambda t: F.struct((-F.length(t)).alias("l"), t.alias("t")))), F.lit(0))["t"])
-    held = chunks.select(*corpus, key, "text", F.explode(F.array_distinct(tx.search_terms("text"))).alias("term"))
-    q = q.where("term IS NOT NULL").select("query_id", "term", F.col("text").alias("_query"))
+    """query_id, corpus columns and key of chunks that hold a query as it stands.
+
+    A chunk must hold the query's longest term, or its longest word if it has stop words only, so candidates come from a join; a
+    query without a word has none.
+    """
+    longest = lambda words: F.get(F.array_sort(F.transform(words, lambda t: F.struct((-F.length(t)).alias("l"), t.alias("t")))), F.lit(0))["t"]
+    q = queries.select("query_id", F.col("text").alias("_query"), F.coalesce(longest(tx.search_terms("text")), longest(tx.search_words("text"))).alias("term")).where("term IS NOT NULL")
+    held = chunks.select(*corpus, key, "text", F.explode(F.array_distinct(tx.search_words("text"))).alias("term"))
     return held.join(q, "term").where(F.regexp_like(F.col("text"), literal_pattern(F.col("_query")))).select("query_id", *corpus, key)
 
 
@@ -95,7 +101,8 @@ def search(chunks: DataFrame, queries: DataFrame, corpus: list[str], limit: int
     scored = bm25(chunks, queries, corpus, key)
     literal = literal_hits(chunks, queries, corpus, key).withColumn("literal", F.lit(True))
     hits = scored.join(literal, by, "full").withColumns({"literal": F.coalesce("literal", F.lit(False)), "score": F.coalesce("score", F.lit(0.0))})
-    best = [F.desc("literal"), F.desc("score"), *corpus, key]
+    # Sums differ in their last digits by the order of their terms; equal scores go by order.
+    best = [F.desc("literal"), F.desc(F.round("score", 9)), *corpus, key]
     if heading:
         hits = hits.join(chunks.select(*corpus, key, heading), [*corpus, key])
         own = Window.partitionBy("query_id", *corpus, heading).orderBy(*best)

@@ -38,8 +38,8 @@ _TREE = """h AS (SELECT CAST(r_regionkey AS BIGINT) AS id, NULL AS up, r_name AS
 p AS (SELECT a.id, a.name, CASE WHEN b.id IS NULL THEN 1 WHEN c.id IS NULL THEN 2 ELSE 3 END AS depth, concat_ws(' > ', c.name, b.name, a.name) AS path, list_filter([c.id, b.id, a.id], lambda x: x IS NOT NULL) AS ids,
   CASE WHEN b.id IS NULL THEN '# ' || a.name WHEN c.id IS NULL THEN '# ' || b.name || chr(10) || '## ' || a.name ELSE '# ' || c.name || chr(10) || '## ' || b.name || chr(10) || '### ' || a.name END AS crumb
   FROM h a LEFT JOIN h b ON a.up = b.id LEFT JOIN h c ON b.up = c.id)"""
-_WORDS = """w AS (SELECT CAST(l_orderkey % 50 AS BIGINT) AS doc_id, CAST(l_suppkey % 20 AS BIGINT) AS page_number, CAST(l_orderkey AS BIGINT) * 10 + l_linenumber AS word_id, CAST(l_partkey % 500 AS DOUBLE) AS x0, CAST((l_orderkey * 7 + l_linenumber * 13) % 700 AS DOUBLE) AS y0, x0 + CAST(l_quantity AS DOUBLE) + 1 AS x1, y0 + 10 AS y1 FROM lineitem),
-l AS (SELECT CAST(p_partkey % 50 AS BIGINT) AS doc_id, CAST(p_partkey % 20 AS BIGINT) AS page_number, CAST(p_partkey AS BIGINT) AS link_id, CAST(p_partkey * 31 % 450 AS DOUBLE) AS x0, CAST(p_partkey * 17 % 650 AS DOUBLE) AS y0, x0 + 80 AS x1, y0 + 40 AS y1 FROM part WHERE p_partkey <= 2000)"""
+_WORDS = """w AS (SELECT CAST(l_orderkey % 50 AS BIGINT) AS doc_id, CAST(l_partkey // 400 AS BIGINT) AS page_number, CAST(l_orderkey AS BIGINT) * 10 + l_linenumber AS word_id, CAST(l_partkey % 500 AS DOUBLE) AS x0, CAST((l_orderkey * 7 + l_linenumber * 13) % 700 AS DOUBLE) AS y0, x0 + CAST(l_quantity AS DOUBLE) + 1 AS x1, y0 + 10 AS y1 FROM lineitem),
+l AS (SELECT CAST(p_partkey % 50 AS BIGINT) AS doc_id, CAST(p_partkey // 400 AS BIGINT) AS page_number, CAST(p_partkey AS BIGINT) AS link_id, CAST(p_partkey * 31 % 450 AS DOUBLE) AS x0, CAST(p_partkey * 17 % 650 AS DOUBLE) AS y0, x0 + 80 AS x1, y0 + 40 AS y1 FROM part)"""
 
 ORACLES: dict[str, str] = {
     "doc_lines": f"WITH {LINES} SELECT doc_id, ord, text FROM line",
@@ -66,6 +66,11 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, ord, CAST(chunk AS BIGINT) AS chunk FROM g""",
     "token_totals": "SELECT source, lang, CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(length(text) // 4) AS BIGINT) AS tokens FROM documents GROUP BY ALL",
     "bm25_scores": f"WITH {_SCORES} SELECT query_id, doc_id, round(score, 6) AS score FROM scored",
+    "search_top": rf"""WITH {_SCORES}, q AS (SELECT item_id AS query_id, trim(text) AS t FROM benchmark),
+lit AS (SELECT query_id, doc_id FROM q, documents d WHERE t <> '' AND regexp_matches(d.text, '(?i)' || CASE WHEN regexp_matches(t, '^[\p{{L}}\p{{N}}_]') THEN '\b' ELSE '' END || regexp_escape(t) || CASE WHEN regexp_matches(t, '[\p{{L}}\p{{N}}_]$') THEN '\b' ELSE '' END)),
+hit AS (SELECT query_id, doc_id, coalesce(score, 0) AS score, lit.doc_id IS NOT NULL AS literal FROM scored FULL JOIN lit USING (query_id, doc_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY literal DESC, round(score, 9) DESC, doc_id) AS rank FROM hit)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, literal, round(score, 6) AS score FROM r WHERE rank <= 8""",
     "unmatched_terms": f"SELECT DISTINCT query_id, term FROM (SELECT item_id AS query_id, unnest({_TERMS}) AS term FROM benchmark) WHERE term NOT IN (SELECT unnest({_TERMS}) FROM conversations WHERE text IS NOT NULL)",
     "table_roles": f"""WITH {_GRID}, c AS (SELECT DISTINCT table_id, y, dense_rank() OVER (ORDER BY y) AS c FROM o), r AS (SELECT DISTINCT table_id, p, dense_rank() OVER (ORDER BY p) + 1 AS r FROM o),
         cell AS (SELECT table_id, r.r AS row_start, c.c AS col_start, 'data' AS role FROM o JOIN c USING (table_id, y) JOIN r USING (table_id, p) UNION ALL SELECT table_id, r, 0, 'row_label' FROM r UNION ALL SELECT table_id, 1, c, 'header' FROM c
@@ -92,7 +97,7 @@ ORACLES: dict[str, str] = {
     "context_adjustment": f"""WITH {LINES}, k AS (SELECT doc_id, ord, concat_ws('|', ord % 3 = 0, ord % 5 = 0, ord % 11 = 0, CASE WHEN length(text) % 6 = 0 THEN 'note' ELSE '-' END, length(text) % 10) AS s FROM line),
         n AS (SELECT *, coalesce(lag(s, 2) OVER w = s, false) AS p2, coalesce(lag(s) OVER w = s, false) AS p1, coalesce(lead(s) OVER w = s, false) AS n1, coalesce(lead(s, 2) OVER w = s, false) AS n2 FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY ord))
         SELECT doc_id, ord, CAST(CASE WHEN (p1 AND p2) OR (p1 AND n1) OR (n1 AND n2) THEN -2.0 ELSE 0.0 END + CASE WHEN NOT (p1 OR p2 OR n1 OR n2) THEN 1.0 ELSE 0.0 END AS DOUBLE) AS adjustment FROM n""",
-    "navigation_lines": f"""WITH {LINES}, f AS (SELECT doc_id, ord, split_part(text, ' ', 1) AS t FROM line WHERE ord % 2 = 0), k AS (SELECT doc_id, t FROM f GROUP BY ALL HAVING count(DISTINCT ord // 10) >= 3) SELECT doc_id, ord, t AS text FROM f JOIN k USING (doc_id, t)""",
+    "navigation_lines": f"""WITH {LINES}, f AS (SELECT doc_id, ord, text AS t FROM line WHERE ord % 2 = 0), k AS (SELECT doc_id, t FROM f GROUP BY ALL HAVING count(DISTINCT ord // 10) >= 3) SELECT doc_id, ord, t AS text FROM f JOIN k USING (doc_id, t)""",
     "event_pages": """SELECT user_id AS doc_id, event_id AS ord, CAST(1 + coalesce(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS page_number FROM events""",
     "heading_paths": f"""WITH {_TREE} SELECT id AS heading_id, depth, path, crumb AS breadcrumb FROM p""",
     "outline_costs": f"""WITH {_TREE}, s AS (SELECT 1000 + s_suppkey AS id, length(s_name) * 37 AS n FROM supplier), t AS (SELECT p.id, CAST(coalesce(sum(s.n), 0) AS BIGINT) AS tokens FROM p LEFT JOIN p q ON list_contains(q.ids, p.id) LEFT JOIN s ON s.id = q.id GROUP BY p.id)
@@ -107,7 +112,7 @@ ORACLES: dict[str, str] = {
     "line_gaps": f"""WITH {_WORDS}, j AS (SELECT *, CASE WHEN y0 - lag(y0) OVER o <= 5 THEN 0 ELSE 1 END AS s FROM w WINDOW o AS (PARTITION BY doc_id, page_number ORDER BY y0, x0, word_id)),
         n AS (SELECT *, CAST(sum(s) OVER (PARTITION BY doc_id, page_number ORDER BY y0, x0, word_id) AS BIGINT) AS line_id FROM j), g AS (SELECT *, x0 - lag(x1) OVER (PARTITION BY doc_id, page_number, line_id ORDER BY x0, word_id, x1) AS gap FROM n)
         SELECT doc_id, page_number, line_id, CAST(count(*) AS BIGINT) AS n_words, median(gap) AS median_gap, max(gap) AS widest_gap, coalesce(median(gap) > 0 AND max(gap) >= 3 * median(gap), false) AS bimodal FROM g GROUP BY ALL""",
-    "language_votes": r"""WITH w AS (SELECT doc_id, length(text) AS n, regexp_extract_all(lower(substr(text, 1, 10000)), '\p{L}+') AS w FROM documents),
+    "language_votes": r"""WITH w AS (SELECT doc_id, length(text) AS n, regexp_extract_all(lower(text), '\p{L}+') AS w FROM documents),
         v AS (SELECT doc_id, n, code, len(list_filter(w, lambda x: list_contains(own, x))) AS k FROM w, (VALUES ('de', ['der','die','das','und','nicht','ist','mit','von','ein','zu']), ('en', ['the','and','of','to','in','is','that','it','for','with']), ('es', ['el','la','los','de','que','y','en','un','por','con']), ('fr', ['le','la','les','et','des','que','est','pour','dans','un'])) AS t(code, own))
         SELECT doc_id, CASE WHEN n >= 50 AND k > 0 THEN code ELSE 'unknown' END AS language, CAST(k AS BIGINT) AS votes FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k DESC, code) AS r FROM v) WHERE r = 1""",
     "first_titles": rf"""WITH {LINES} SELECT doc_id, arg_min({_STRIP}, ord) AS title FROM line WHERE length({_STRIP}) > 5 GROUP BY doc_id""",

@@ -106,7 +106,9 @@ def search_top(spark, sf_dir):
 
 
 def search_snippets(spark, sf_dir):
-    got = retrieve.search(staged(_plain_chunks(spark, sf_dir)), _benchmark(spark, sf_dir), ["doc_id"], 8)
+    """Blocks against benchmark texts, each block scored within its document, with the place that the query stands at."""
+    made = staged(_plain_blocks(spark, sf_dir).withColumnRenamed("block_id", "chunk_index").select("doc_id", "chunk_index", "text"))
+    got = retrieve.search(made, _benchmark(spark, sf_dir), ["doc_id"], 8)
     return got.select("query_id", "rank", "doc_id", "chunk_index", "literal", F.round("score", 6).alias("score"), "snippet")
 
 
@@ -216,7 +218,7 @@ _OPENINGS = ("Item 4. ", "(a) ", "(iv) ", "12.3 ", "Section 2 ", "B.2 ", "Table
 def marker_candidates(spark, sf_dir):
     """Lines that are given openings in turn, with the marker that is found."""
     lead = F.get(F.array(*[F.lit(x) for x in _OPENINGS]), (F.col("ord") % len(_OPENINGS)).cast("int"))
-    df = _lines(spark, sf_dir).withColumn("text", F.concat(lead, F.lit("Word "), F.regexp_replace("text", "[^a-z ]", "")))
+    df = _lines(spark, sf_dir).withColumn("text", F.concat(lead, F.lit("Word "), F.col("text")))
     return headings.with_markers(df).select("doc_id", "ord", "hierarchy_type", "hierarchy_marker")
 
 
@@ -247,19 +249,19 @@ def document_headings(spark, sf_dir):
 
 
 def navigation_lines(spark, sf_dir):
-    """Links that stand on at least three pages: first words of lines, as links within ten lines a page."""
-    df = _lines(spark, sf_dir).select("doc_id", "ord", F.substring_index("text", " ", 1).alias("text"), F.floor(F.col("ord") / 10).alias("page_number"), F.when(F.col("ord") % 2 == 0, "internal").alias("link_type"), F.lit(None).cast("string").alias("block_type"))
+    """Links that stand on at least three pages: every second line as a link, ten lines a page."""
+    df = _lines(spark, sf_dir).select("doc_id", "ord", "text", F.floor(F.col("ord") / 10).alias("page_number"), F.when(F.col("ord") % 2 == 0, "internal").alias("link_type"), F.lit(None).cast("string").alias("block_type"))
     return structure.mark_navigation(df).where("block_type = 'navigation'").select("doc_id", "ord", "text")
 
 
 def contents_rows(spark, sf_dir):
-    """Lines with a table of contents in front: rows that are found as such, and their heading."""
-    base = _lines(spark, sf_dir).withColumn("text", F.regexp_replace("text", r"[$|.]", ""))
-    rows = base.where((F.col("ord") <= 6) & (F.length("text") > 20)).select("doc_id", (F.col("ord") + 1).alias("ord"), F.concat(F.substring("text", 1, 20), F.lit(" ...... "), F.col("ord") * 3).alias("text"))
-    head = base.select("doc_id").distinct().select("doc_id", F.lit(1).cast("long").alias("ord"), F.lit("Table of Contents").alias("text"))
-    body = base.select("doc_id", (F.col("ord") + 100).alias("ord"), "text")
-    dense = Window.partitionBy("doc_id").orderBy("ord")
-    df = head.unionByName(rows).unionByName(body).withColumn("ord", F.row_number().over(dense).cast("long"))
+    """Documents with a table of contents of all their lines in front: rows that are found as such, and their heading."""
+    base = _lines(spark, sf_dir)
+    rows = base.select("doc_id", F.lit(1).alias("part"), "ord", F.concat("text", F.lit(" ...... "), F.col("ord") * 3).alias("text"))
+    head = base.select("doc_id").distinct().select("doc_id", F.lit(0).alias("part"), F.lit(1).cast("long").alias("ord"), F.lit("Table of Contents").alias("text"))
+    body = base.select("doc_id", F.lit(2).alias("part"), "ord", "text")
+    dense = Window.partitionBy("doc_id").orderBy("part", "ord")
+    df = head.unionByName(rows).unionByName(body).withColumn("ord", F.row_number().over(dense).cast("long")).drop("part")
     return structure.mark_toc(df).where("block_type IN ('toc', 'toc_heading')").select("doc_id", "ord", "block_type")
 
 
@@ -317,12 +319,12 @@ def found_headings(spark, sf_dir):
 
 def _words(spark, sf_dir):
     li = _table(spark, sf_dir, "lineitem")
-    return li.selectExpr("CAST(l_orderkey % 50 AS BIGINT) AS doc_id", "CAST(l_suppkey % 20 AS BIGINT) AS page_number", "CAST(l_orderkey AS BIGINT) * 10 + l_linenumber AS word_id", "CAST(l_partkey % 500 AS DOUBLE) AS x_left", "CAST((l_orderkey * 7 + l_linenumber * 13) % 700 AS DOUBLE) AS y_top", "CAST(l_quantity AS DOUBLE) AS width").withColumns({"x_right": F.col("x_left") + F.col("width") + 1, "y_bottom": F.col("y_top") + 10, "font_size": F.lit(10.0), "text": F.lit("w")})
+    return li.selectExpr("CAST(l_orderkey % 50 AS BIGINT) AS doc_id", "CAST(floor(l_partkey / 400) AS BIGINT) AS page_number", "CAST(l_orderkey AS BIGINT) * 10 + l_linenumber AS word_id", "CAST(l_partkey % 500 AS DOUBLE) AS x_left", "CAST((l_orderkey * 7 + l_linenumber * 13) % 700 AS DOUBLE) AS y_top", "CAST(l_quantity AS DOUBLE) AS width").withColumns({"x_right": F.col("x_left") + F.col("width") + 1, "y_bottom": F.col("y_top") + 10, "font_size": F.lit(10.0), "text": F.lit("w")})
 
 
 def _links(spark, sf_dir):
     p = _table(spark, sf_dir, "part")
-    return p.selectExpr("CAST(p_partkey % 50 AS BIGINT) AS doc_id", "CAST(p_partkey % 20 AS BIGINT) AS page_number", "CAST(p_partkey AS BIGINT) AS link_id", "CAST(p_partkey * 31 % 450 AS DOUBLE) AS x_left", "CAST(p_partkey * 17 % 650 AS DOUBLE) AS y_top").withColumns({"x_right": F.col("x_left") + 80, "y_bottom": F.col("y_top") + 40})
+    return p.selectExpr("CAST(p_partkey % 50 AS BIGINT) AS doc_id", "CAST(floor(p_partkey / 400) AS BIGINT) AS page_number", "CAST(p_partkey AS BIGINT) AS link_id", "CAST(p_partkey * 31 % 450 AS DOUBLE) AS x_left", "CAST(p_partkey * 17 % 650 AS DOUBLE) AS y_top").withColumns({"x_right": F.col("x_left") + 80, "y_bottom": F.col("y_top") + 40})
 
 
 def word_links(spark, sf_dir):
@@ -350,7 +352,7 @@ def page_reading_order(spark, sf_dir):
 
 
 def language_votes(spark, sf_dir):
-    return metadata.language_vote(_table(spark, sf_dir, "documents"))
+    return metadata.language_vote(_table(spark, sf_dir, "documents"), within=None)
 
 
 def first_titles(spark, sf_dir):

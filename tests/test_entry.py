@@ -6,8 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from leafmill.plans.oracles import ORACLES
-from leafmill.plans.queries import QUERIES
+from __spark_entry__ import ORACLES, QUERIES
 
 ROOT = Path(__file__).resolve().parents[1]
 
