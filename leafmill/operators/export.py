@@ -109,3 +109,11 @@ def outline(paths: DataFrame) -> DataFrame:
     line = F.concat(F.repeat(F.lit("  "), F.col("depth") - 1), F.col("text"))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("preorder", line.alias("l")))), lambda x: x["l"])
     return paths.groupBy("doc_id").agg(F.array_join(parts, "\n").alias("text"))
+
+
+def dump(steps: dict[str, DataFrame], folder: str) -> None:
+    """One CSV table for each step of a run, in order and with the document and order columns first; nested columns as JSON."""
+    lead = ("doc_id", "page_number", "ord", "line_id", "block_id", "chunk_index")
+    for k, (name, df) in enumerate(steps.items(), start=1):
+        columns = [c for c in lead if c in df.columns] + sorted(c for c in df.columns if c not in lead)
+        save(df.select(*[F.col(f"`{c}`") for c in columns]), f"{folder.rstrip('/')}/{k:02d}_{name}", "csv")

@@ -7,7 +7,7 @@ best path over pages where they are (PDF).
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as tx
@@ -21,6 +21,31 @@ def candidates(lines: DataFrame) -> DataFrame:
     return df.select("doc_id", "ord", "page_number", "token", "kind", tx.label_value("token", F.col("kind")).cast("long").alias("value"), F.coalesce(tx.label_prefix("token", F.col("kind")), F.lit("")).alias("prefix"))
 
 
+def embedded(text) -> Column:
+    """The page label inside a longer text: N of "N of M" at its end (0 < N <= M), what stands after the last bar, or a last word with a hyphen."""
+    t = tx.strip(text)
+    n, m = (F.regexp_extract(t, r"(?i)\b(\d{1,4})\s+of\s+(\d{1,4})\s*$", k) for k in (1, 2))
+    counted = F.when((n != "") & (n.try_cast("int") > 0) & (n.try_cast("int") <= m.try_cast("int")), n)
+    after = F.when(t.contains("|"), F.nullif(F.trim(F.substring_index(t, "|", -1)), F.lit("")))
+    last = F.when(t.contains(" ") & F.substring_index(t, " ", -1).contains("-"), F.substring_index(t, " ", -1))
+    return F.coalesce(counted, after, last)
+
+
+def without_crowds(found: DataFrame, lines: DataFrame, most_in_band: int = 3) -> DataFrame:
+    """Candidates outside contents, tables and lines with a link, on pages whose first or last lines hold at most most_in_band of them: a crowd of labels is a list, no page number."""
+    hidden = lines.where(F.coalesce(F.col("block_type").isin("toc", "toc_heading", "table", "exhibits"), F.lit(False)) | F.coalesce(F.col("has_link"), F.lit(False))).select("doc_id", "ord")
+    kept = found.join(hidden, ["doc_id", "ord"], "left_anti")
+    page = Window.partitionBy("doc_id", "page_number")
+    kept = kept.withColumn("_n", F.count(F.lit(1)).over(page)).where(F.col("_n") <= most_in_band)
+    return kept.drop("_n")
+
+
+def alternating(sides: list[str]) -> bool:
+    """Whether labels stand left and right in turn, as in a bound book: four at least, and all but one in five change sides."""
+    turns = [a != b for a, b in zip(sides, sides[1:])]
+    return len(sides) >= 4 and set(sides) <= {"left", "right"} and sum(turns) >= 0.8 * len(turns)
+
+
 def best_series(rows: list[tuple[int, str, str, int]], least: int = 3) -> list[int]:
     """Indexes of the rows (place, kind, prefix, value) that number pages: of all runs that count on by one in one kind and prefix, the longest first, as long as their stretches do not overlap."""
     open_runs: dict[tuple, list[int]] = {}

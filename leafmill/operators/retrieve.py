@@ -108,7 +108,9 @@ def search(chunks: DataFrame, queries: DataFrame, corpus: list[str], limit: int
         own = Window.partitionBy("query_id", *corpus, heading).orderBy(*best)
         hits = hits.withColumn("_k", F.row_number().over(own)).where("_k = 1").drop("_k")
     ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*best))).where(F.col("rank") <= limit)
-    return ranked.join(chunks.select(*corpus, key, "text"), [*corpus, key]).join(queries.select("query_id", F.col("text").alias("_query")), "query_id").withColumn("snippet", snippet(F.col("text"), anchor(F.col("text"), F.col("_query")))).drop("_query", "text")
+    shown = ranked.join(chunks.select(*corpus, key, "text"), [*corpus, key]).join(queries.select("query_id", F.col("text").alias("_query")), "query_id")
+    # The place is found once; a snippet refers to it many times.
+    return shown.withColumn("_at", anchor(F.col("text"), F.col("_query"))).withColumn("snippet", snippet(F.col("text"), F.col("_at"))).drop("_query", "_at", "text")
 
 
 def unmatched_terms(chunks: DataFrame, queries: DataFrame) -> DataFrame:
@@ -191,6 +193,31 @@ def drop_nested(chosen: DataFrame) -> DataFrame:
     return chosen.join(nested.select("doc_id", "heading_id").distinct(), ["doc_id", "heading_id"], "left_anti")
 
 
+def hit_heading(path: Column, text: Column, at: Column) -> Column:
+    """The path of the heading that a hit at place at (from 0) of a chunk stands under, as resolve() reads it: of a merged chunk's headings the one whose part holds the place."""
+    named = F.transform(path, lambda p: F.trim(F.regexp_replace(p, "^#+", "")))
+    parts = F.split(F.element_at(named, -1), r" \| ")
+    begins = F.transform(parts, lambda p: F.struct(F.trim(p).alias("p"), (F.instr(text, F.concat(F.lit("## "), F.trim(p))) - 1).alias("s")))
+    rest = lambda x: F.instr(F.substring(text, x["s"] + F.length(x["p"]) + 4, F.length(text)), "\n## ")
+    stop = lambda x: F.when(rest(x) > 0, x["s"] + F.length(x["p"]) + 2 + rest(x)).otherwise(F.length(text))
+    held = F.filter(begins, lambda x: (x["s"] >= 0) & (x["s"] <= at) & (at < stop(x)))
+    own = F.when(F.size(parts) < 2, F.element_at(named, -1)).otherwise(F.coalesce(F.get(held, F.lit(0))["p"], F.trim(F.get(parts, F.lit(0)))))
+    return F.when(F.size(path) > 0, F.array_join(F.concat(F.slice(named, 1, F.size(named) - 1), F.array(own)), " > ")).otherwise("")
+
+
+def read(blocks: DataFrame, paths: DataFrame, requests: list[str]) -> DataFrame:
+    """doc_id and text of what stands under the requested headings, subsections included, each block once: "A > B" names a heading under others. Blocks carry heading_id."""
+    named = reduce(DataFrame.unionByName, [resolve(paths, r) for r in requests]).dropDuplicates(["doc_id", "heading_id"])
+    return rendered(under(blocks, paths, drop_nested(named)))
+
+
+def outline_tool(paths: DataFrame, blocks: DataFrame) -> DataFrame:
+    """doc_id and text: a line for each heading with what reading it costs."""
+    lines = outline_costs(paths, blocks)
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("preorder", "line"))), lambda x: x["line"])
+    return lines.groupBy("doc_id").agg(F.array_join(parts, "\n").alias("text"))
+
+
 def by_page(rows: DataFrame, page) -> DataFrame:
     """Rows on a page, by number or by printed label."""
     if isinstance(page, int):

@@ -167,6 +167,51 @@ def without_blank(cells: DataFrame) -> DataFrame:
     return out.select(*TABLE, F.col("r").alias("row_start"), F.col("c").alias("col_start"), "rowspan", "colspan", *others)
 
 
+_OPENING = r"^(?:\d|\([a-zA-Z0-9]+\)|[•◦▪▸·‣⁃●○►▶◆◇□■])"
+
+
+def lone_rows(lines: DataFrame, least: int = 5, most_marked: float = 0.1) -> DataFrame:
+    """Lines (ord, text, table_id, table_row_id, cell_count) after tables of one row are dealt with: a run of least or more of them with equal cells, few of which open with a number or mark, is one table; others are text again. Tables are numbered anew in order of appearance."""
+    doc = Window.partitionBy("doc_id").orderBy("ord")
+    rows = F.size(F.collect_set("table_row_id").over(Window.partitionBy(*TABLE)))
+    df = lines.withColumn("_lone", F.col("table_id").isNotNull() & (rows == 1))
+    follows = F.coalesce(F.lag("_lone").over(doc), F.lit(False)) & F.coalesce(F.lag("cell_count").over(doc).eqNullSafe(F.col("cell_count")), F.lit(False))
+    df = df.withColumn("_new", F.col("_lone") & ~follows)
+    df = df.withColumn("_run", F.when(F.col("_lone"), F.sum(F.when(F.col("_new"), 1).otherwise(0)).over(doc.rowsBetween(Window.unboundedPreceding, 0))))
+    run = Window.partitionBy("doc_id", "_run")
+    n = F.count(F.lit(1)).over(run)
+    marked = F.sum(F.when(tx.strip("text").rlike(_OPENING), 1).otherwise(0)).over(run)
+    df = df.withColumn("_joined", F.col("_lone") & (n >= least) & (marked <= most_marked * n))
+    row = F.row_number().over(Window.partitionBy("doc_id", "_run").orderBy("ord"))
+    key = F.when(F.col("_joined"), F.concat(F.lit("r"), F.col("_run"))).when(~F.col("_lone") & F.col("table_id").isNotNull(), F.concat(F.lit("t"), F.col("table_id")))
+    df = df.withColumns({"_key": key, "table_row_id": F.when(F.col("_joined"), row.cast("long")).when(~F.col("_lone"), F.col("table_row_id")), "text": F.when(F.col("_lone") & ~F.col("_joined"), F.replace("text", F.lit(" | "), F.lit(" "))).otherwise(F.col("text"))})
+    df = df.withColumn("_since", F.min("ord").over(Window.partitionBy("doc_id", "_key")))
+    number = F.dense_rank().over(Window.partitionBy("doc_id", F.col("_key").isNotNull()).orderBy("_since"))
+    return df.withColumn("table_id", F.when(F.col("_key").isNotNull(), number.cast("long"))).drop("_lone", "_new", "_run", "_joined", "_key", "_since")
+
+
+def records(cells: DataFrame) -> DataFrame:
+    """A record for each table: doc_id, table_id, page_number, page_label, caption (the first that there is), box, markdown, and its cells in order."""
+    have = lambda c, kind: F.col(c) if c in cells.columns else F.lit(None).cast(kind)
+    place = F.struct("row_start", "col_start")
+    cell = F.struct("row_start", "col_start", F.coalesce("rowspan", F.lit(1)).alias("rowspan"), F.coalesce("colspan", F.lit(1)).alias("colspan"), F.coalesce("table_cell_role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    first = lambda c, kind: F.min_by(have(c, kind), F.when(have(c, kind).isNotNull(), place))
+    box = F.struct(F.min(have("x_left", "double")).alias("x_left"), F.min(have("y_top", "double")).alias("y_top"), F.max(have("x_right", "double")).alias("x_right"), F.max(have("y_bottom", "double")).alias("y_bottom"))
+    got = cells.groupBy(*TABLE).agg(F.coalesce(first("page_number", "long"), F.lit(0)).alias("page_number"), first("page_label", "string").alias("page_label"), first("caption", "string").alias("caption"), box.alias("box"), F.array_sort(F.collect_list(cell)).alias("cells"))
+    return got.join(markdown(cells).withColumnRenamed("text", "markdown"), list(TABLE))
+
+
+def chart_records(points: DataFrame) -> DataFrame:
+    """A record for each chart: doc_id, chart_id, chart_type, title, page_number, series names, markdown, and its points in order."""
+    have = lambda c, kind: F.col(c) if c in points.columns else F.lit(None).cast(kind)
+    place = F.struct("series_index", "point_index")
+    first = lambda c, kind: F.min_by(have(c, kind), F.when(have(c, kind).isNotNull(), place))
+    point = F.struct("series_index", "point_index", "series_name", "category", "value")
+    got = points.groupBy("doc_id", "chart_id").agg(first("chart_type", "string").alias("chart_type"), first("chart_title", "string").alias("title"), F.coalesce(first("page_number", "long"), F.lit(0)).alias("page_number"), F.array_sort(F.collect_list(point)).alias("points"))
+    got = got.withColumn("series", F.array_distinct(F.transform("points", lambda p: p["series_name"])))
+    return got.join(chart_markdown(points).withColumnRenamed("text", "markdown"), ["doc_id", "chart_id"])
+
+
 # Charts: doc_id, chart_id, chart_type, series_index, series_name, point_index, category, value.
 
 

@@ -67,7 +67,7 @@ ORACLES: dict[str, str] = {
     "token_totals": "SELECT source, lang, CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(length(text) // 4) AS BIGINT) AS tokens FROM documents GROUP BY ALL",
     "bm25_scores": f"WITH {_SCORES} SELECT query_id, doc_id, round(score, 6) AS score FROM scored",
     "search_top": rf"""WITH {_SCORES}, q AS (SELECT item_id AS query_id, trim(text) AS t FROM benchmark),
-lit AS (SELECT query_id, doc_id FROM q, documents d WHERE t <> '' AND regexp_matches(d.text, '(?i)' || CASE WHEN regexp_matches(t, '^[\p{{L}}\p{{N}}_]') THEN '\b' ELSE '' END || regexp_escape(t) || CASE WHEN regexp_matches(t, '[\p{{L}}\p{{N}}_]$') THEN '\b' ELSE '' END)),
+lit AS (SELECT query_id, doc_id FROM q, documents d WHERE t <> '' AND regexp_matches(d.text, '(?i)' || CASE WHEN regexp_matches(t, '^[\p{{L}}\p{{N}}_]') THEN '(^|[^\p{{L}}\p{{M}}\p{{N}}_])' ELSE '' END || regexp_escape(t) || CASE WHEN regexp_matches(t, '[\p{{L}}\p{{N}}_]$') THEN '($|[^\p{{L}}\p{{M}}\p{{N}}_])' ELSE '' END)),
 hit AS (SELECT query_id, doc_id, coalesce(score, 0) AS score, lit.doc_id IS NOT NULL AS literal FROM scored FULL JOIN lit USING (query_id, doc_id)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY literal DESC, round(score, 9) DESC, doc_id) AS rank FROM hit)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, literal, round(score, 6) AS score FROM r WHERE rank <= 8""",

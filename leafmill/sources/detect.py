@@ -26,7 +26,7 @@ def kind_of(content: Column, path: Column) -> Column:
     magic = F.hex(F.substring(content, 1, 4))
     suffix = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)(?:[?#].*)?$", 1))
     named = F.create_map(*[F.lit(x) for pair in SUFFIXES.items() for x in pair])[suffix]
-    return F.when(magic == "25504446", "pdf").when(magic == "504B0304", F.when(named.isin("docx", "pptx"), named).otherwise("zip")).when(named == "html", "html").when(looks_like_html(F.decode(F.substring(content, 1, 2048), "UTF-8")), "html").otherwise(F.coalesce(named, F.lit("unknown")))
+    return F.when(magic == "25504446", "pdf").when(magic == "504B0304", F.when(named.isin("docx", "pptx"), named).otherwise("zip")).when(named == "html", "html").when(looks_like_html(F.make_valid_utf8(F.substring(content, 1, 2048).cast("string"))), "html").otherwise(F.coalesce(named, F.lit("unknown")))
 
 
 def read_folder(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
