@@ -28,7 +28,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (similarity 0.8 of 5-word shingles) stays."""
+    """One document of each group of near-duplicates (similarity 0.8 of 5-word shingles; SimHash and covering, then what they miss) stays."""
     bounded_batches(spark)
     return copies.keep_first(docs)
 

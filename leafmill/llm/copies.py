@@ -1,12 +1,19 @@
 """Near copies by exact Jaccard similarity: sets of 5-word shingles, similarity 0.8 or more. The form of operator 10 for stages.
 
-A similarity of 0.8 is about 10 of 64 differing SimHash bits with a spread of 3, which no covering of a payable size reaches, so
-pairs come from prefixes instead, which lose none: if all sets are sorted by one order, two sets that are similar enough share an
-element of their first n - ceil(0.8 n) + 1. Pairs whose sketches (counts of shingles by hash) or marks (places that shingles fall
-to) rule the similarity out are dropped; the others are verified on the whole sets. The texts are read four times, as shingles are
-cheaper to make anew than to keep: for prefixes, sketches and marks of all, and for what the steps below need of some.
-
-First the order is that of the hashes. Sets that meet in a shingle of at most max_bucket sets are compared there. Sets that meet
+First comes the method of operator 10, on 5-word shingles: SimHash fingerprints, and covering of up to 5 differing bits by 63 tables
+of GF(2)^6 labels. Candidates are verified on the whole sets, and components are labelled. A bucket of more different fingerprints
+than simhash compares goes to its covering of three bits, which covers large buckets again. Of sets with one fingerprint all are
+compared with the smallest, which stands for them in the tables; then pairs of fingerprints that no component holds yet are.
+
+A similarity of 0.8 is about 8 of 64 differing SimHash bits, and up to 22 were seen, which no covering of a payable size reaches.
+So the pairs of sets that covering has not brought to one component are found by prefixes, which lose none: if all sets are sorted
+by one order, two sets that are similar enough share an element of their first n - ceil(0.8 n) + 1. Pairs of one component are left
+out of these joins, and so are buckets whose sets all are of one. Pairs whose sketches (counts of shingles by hash) or marks (places
+that shingles fall to) rule the similarity out are dropped; the others are verified on the whole sets. The texts are read five
+times, as shingles are cheaper to make anew than to keep: for fingerprints, prefixes, sketches and marks of all, and for what the
+steps below need of some.
+
+The first order is that of the hashes. Sets that meet in a shingle of at most max_bucket sets are compared there. Sets that meet
 in a larger bucket are joined once more among themselves, by an order that puts shingles of many of these sets last, the most
 common at the very end: a pair that shares a small bucket is found by the first order, and one that shares large ones only is
 among these sets, so no pair is lost. What still is a large bucket is a crowd of near copies; all its sets are compared with one
@@ -31,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.llm import simhash
 from leafmill.llm.bytewords import SOLID, U, mix, words
 from leafmill.llm.common import bit_filter, columns_of, free_names, materialize, per_slice, small_rows
 from leafmill.llm.decontam import window_hashes
@@ -38,6 +46,8 @@ from leafmill.llm.simhash import label_components
 from leafmill.plans.staging import Scratch, scratch
 
 SHINGLE = 5
+#: Differing bits that the covering tables reach. It has no bearing on results.
+RADIUS = 5
 #: Sets of a shingle that are still compared pair by pair.
 MAX_BUCKET = 64
 #: Shingles that the second order puts last, the most common first. The order has no bearing on results.
@@ -113,16 +123,17 @@ def prefix_sizes(n: np.ndarray) -> np.ndarray:
 
 
 def _described(documents: DataFrame, keep: list[str]) -> DataFrame:
-    """keep, sid, n, first (the prefix by hash), sketch and marks of every document."""
+    """keep, fp (the SimHash fingerprint of its 5-word shingles), sid, n, first (the prefix by hash), sketch and marks of every document."""
 
     def work(strings: pa.Array) -> list[pa.Array]:
+        fp = simhash.fingerprints(strings, SHINGLE).view(np.int64)
         h, bounds = shingle_sets(strings)
         n = np.diff(bounds)
         size = prefix_sizes(n)
         inside = np.arange(len(h)) - np.repeat(bounds[:-1], n) < np.repeat(size, n)
-        return [pa.array(set_keys(h, bounds).view(np.int64)), pa.array(n, pa.int64()), _lists(h[inside], size), sketches(h, bounds), marks(h, bounds)]
+        return [pa.array(fp), pa.array(set_keys(h, bounds).view(np.int64)), pa.array(n, pa.int64()), _lists(h[inside], size), sketches(h, bounds), marks(h, bounds)]
 
-    return per_slice(documents, "text", keep, "sid long, n long, first array<long>, sketch binary, marks array<long>", work)
+    return per_slice(documents, "text", keep, "fp long, sid long, n long, first array<long>, sketch binary, marks array<long>", work)
 
 
 def _items(documents: DataFrame, ids: DataFrame, heads: bool = False) -> DataFrame:
@@ -173,18 +184,30 @@ def _rows(sets: DataFrame) -> DataFrame:
     return sets.select("sid", "n", F.posexplode("first").alias("pos", "tok"))
 
 
-def _buckets(sets: DataFrame) -> DataFrame:
-    """tok, sid, n, pos and held (sets in the bucket) of the prefix elements that several sets share. Sizes are pre-aggregated; no bucket is gathered."""
+def _buckets(sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """tok, sid, n, pos, held (sets in the bucket) and label (the component by covering, if any) of the prefix elements that several sets share. Sizes are pre-aggregated; no bucket is gathered."""
     sizes = _rows(sets).groupBy("tok").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-    return _rows(sets).join(sizes, "tok")
+    return _rows(sets).join(sizes, "tok").join(labels.withColumnRenamed("node", "sid"), "sid", "left")
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The rows of buckets whose sets are not all of one component."""
+    own = F.coalesce("label", "sid")
+    several = rows.groupBy("tok").agg(F.min(own).alias("x"), F.max(own).alias("y")).where("x < y").select("tok")
+    return rows.join(several, "tok", "left_semi")
+
+
+def _apart(x: Column, y: Column) -> Column:
+    """Whether two labels, null for a set on its own, leave it open that their sets are linked."""
+    return F.coalesce(x != y, F.lit(True))
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
-    """Pairs a < b, once each, that meet in a bucket and whose sizes and places there (and marks, if rows have them) let them be similar."""
-    side = lambda c: rows.select("tok", F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("pos").alias(f"p_{c}"), *[F.col(m).alias(f"m_{c}") for m in rows.columns if m == "marks"])
+    """Pairs a < b of different components, once each, that meet in a bucket and whose sizes and places there (and marks, if rows have them) let them be similar."""
+    side = lambda c: rows.select("tok", F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("pos").alias(f"p_{c}"), F.col("label").alias(f"l_{c}"), *[F.col(m).alias(f"m_{c}") for m in rows.columns if m == "marks"])
     x, y = side("a"), side("b")
     most = F.least("p_a", "p_b") + 1 + F.least(F.col("n_a") - F.col("p_a") - 1, F.col("n_b") - F.col("p_b") - 1)
-    fits = (x["tok"] == y["tok"]) & (F.col("a") < F.col("b")) & (9 * most >= 4 * (F.col("n_a") + F.col("n_b")))
+    fits = (x["tok"] == y["tok"]) & (F.col("a") < F.col("b")) & (9 * most >= 4 * (F.col("n_a") + F.col("n_b"))) & _apart(F.col("l_a"), F.col("l_b"))
     if "marks" in rows.columns:
         fits = fits & _near_marks(F.col("m_a"), F.col("m_b"), F.col("n_a") + F.col("n_b"))
     return x.join(y, fits).select("a", "b").distinct()
@@ -256,14 +279,54 @@ def _ids(*frames: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, [f.select(F.col(c).alias("sid")) for f in frames for c in f.columns if c in ("a", "b", "sid")]).distinct()
 
 
-def links(documents: DataFrame, base: DataFrame, own: Scratch, max_bucket: int = MAX_BUCKET) -> DataFrame:
-    """Links a < b between different sets that give the components of all pairs of similarity 0.8 or more; base has sid, n, first and sketch once each."""
+def _joined(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """Links that give the components of labels and the links more (a, b) together: one of each node, and those of more between components, once for each two."""
+    label = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l_{c}"))
+    more = more.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("l_a", "a").alias("a"), F.coalesce("l_b", "b").alias("b"))
+    return labels.where("node != label").select(F.col("label").alias("a"), F.col("node").alias("b")).union(more.where("a != b").distinct())
+
+
+def near_fingerprints(fps: DataFrame, own: Scratch, max_bucket: int = simhash.MAX_BUCKET) -> DataFrame:
+    """Pairs a < b of fingerprints (fp, once each) that differ in RADIUS bits or fewer, once each; in buckets of more than max_bucket those of simhash's radius."""
+    by = ["t", "key"]
+    rows = own.keep(simhash.grouped(simhash.tables(fps, simhash.cover(list(range(64)), RADIUS)), by))
+    out = simhash.pairs(rows.where(F.col("n") <= max_bucket), by, RADIUS)
+    hot = own.slim(rows.where(F.col("n") > max_bucket).select("fp").distinct())
+    if hot.take(1):
+        out = out.union(simhash.links(hot, keep=own.keep))
+    out = own.slim(out.distinct())
+    own.tidy(rows, hot)
+    return out
+
+
+def covered(documents: DataFrame, base: DataFrame, own: Scratch) -> DataFrame:
+    """Components (node, label) by links between different sets whose fingerprints covering brings together, verified on whole sets; base has sid, fp, n and sketch once each."""
+    groups = own.slim(base.groupBy("fp").agg(F.min("sid").alias("least"), F.count(F.lit(1)).alias("k")))
+    side = lambda c: groups.select(F.col("fp").alias(c), F.col("least").alias(f"s_{c}"))
+    near = near_fingerprints(groups.select("fp"), own).join(side("a"), "a").join(side("b"), "b")
+    near = own.slim(near.select(F.least("s_a", "s_b").alias("a"), F.greatest("s_a", "s_b").alias("b")))
+    same = base.select("fp", "sid").join(groups.where("k > 1"), "fp").where("least < sid").select(F.col("least").alias("a"), F.col("sid").alias("b"))
+    # One link of each set at first, as a crowd's other ones are mostly within its component then and need not be verified.
+    first = own.slim(same.union(near.groupBy("a").agg(F.min("b").alias("b"))))
+    sets = own.keep(_items(documents, own.slim(_ids(first, near))))
+    labels = label_components(own.slim(_linked(_measured(sets, first))), own.slim)
+    label = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l_{c}"))
+    open_ = near.join(first, ["a", "b"], "left_anti").join(label("a"), "a", "left").join(label("b"), "b", "left").where(_apart(F.col("l_a"), F.col("l_b")))
+    more = own.slim(_linked(_measured(sets, _possible(open_.select("a", "b"), base, own))))
+    if more.take(1):
+        labels = label_components(own.slim(_joined(labels, more)), own.slim)
+    own.tidy(sets, near, groups)
+    return labels
+
+
+def links(documents: DataFrame, base: DataFrame, labels: DataFrame, own: Scratch, max_bucket: int = MAX_BUCKET) -> DataFrame:
+    """Links a < b between different sets that with those of the components in labels give the components of all pairs of similarity 0.8 or more; base has sid, n, first, sketch and marks once each."""
     spark = documents.sparkSession
-    met = own.keep(_buckets(base))
+    met = own.keep(_buckets(base, labels))
     own.tidy()
     big = F.col("held") > max_bucket
     pairs = _possible(_pairs(met.where(~big)), base, own)
-    again = own.slim(_ids(met.where(big)))
+    again = own.slim(_ids(_mixed(met.where(big))))
     own.tidy(met)
     crowded = again.limit(0).select("sid")
     if again.take(1):
@@ -276,10 +339,10 @@ def links(documents: DataFrame, base: DataFrame, own: Scratch, max_bucket: int =
         whole = own.slim(_items(documents, deep))
         with small_rows(spark, 256):
             deep_laid = own.slim(_late_prefixes(whole, common))
-        met = own.keep(_buckets(laid.where("first IS NOT NULL").unionByName(deep_laid)))
+        met = own.keep(_buckets(laid.where("first IS NOT NULL").unionByName(deep_laid), labels))
         own.tidy(whole, laid, deep_laid)
         pairs = own.slim(pairs.union(_possible(_pairs(met.where(~big)), base, own)).distinct())
-        crowded = own.slim(met.where(big))
+        crowded = own.slim(_mixed(met.where(big)))
     sets = own.keep(_items(documents, own.slim(_ids(pairs, crowded))))
     out = [own.slim(_linked(_measured(sets, pairs)))]
     own.tidy()
@@ -300,9 +363,10 @@ def keep_first(documents: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
         docs = own.keep(_described(slim, ["doc_id", "_lm_a", "_lm_b", "_lm_text"]))
         order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_lm_text").alias("text"), F.col("_lm_a").alias("a"), F.col("_lm_b").alias("b"))
         groups = own.slim(docs.groupBy("sid").agg(F.min(order).alias("least")))
-        base = own.keep(docs.select("sid", "n", "first", "sketch", "marks").dropDuplicates(["sid"]))
+        base = own.keep(docs.select("sid", "fp", "n", "first", "sketch", "marks").dropDuplicates(["sid"]))
         own.tidy(docs)
-        labels = label_components(links(documents, base, own, max_bucket), own.slim)
+        labels = covered(documents, base, own)
+        labels = label_components(own.slim(_joined(labels, links(documents, base, labels, own, max_bucket))), own.slim)
         known = groups.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
         kept = materialize(known.groupBy("label").agg(F.min("least").alias("first")).select(F.col("first.a").alias(a), F.col("first.b").alias(b)))
     # Both the join and the choice among repeated rows ask for the same partitioning and order.

@@ -133,29 +133,30 @@ def with_fingerprint(documents: DataFrame, keep: list[str]) -> DataFrame:
     return per_slice(documents, "text", keep, "fp long", lambda strings: [pa.array(fingerprints(strings).view(np.int64))])
 
 
-def cover(bits: list[int]) -> list[int]:
-    """15 masks over the given bits such that any three of the bits are all left out of some mask."""
-    label = {b: i % 15 + 1 for i, b in enumerate(bits)}
-    return [sum(1 << b for b in bits if (label[b] & v).bit_count() % 2) for v in range(1, 16)]
+def cover(bits: list[int], radius: int = RADIUS) -> list[int]:
+    """15 masks over the given bits such that any three of the bits are all left out of some mask. For any radius: labels in GF(2)**(radius + 1), as many masks as there are labels."""
+    labels = 2 ** (radius + 1) - 1
+    label = {b: i % labels + 1 for i, b in enumerate(bits)}
+    return [sum(1 << b for b in bits if (label[b] & v).bit_count() % 2) for v in range(1, labels + 1)]
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _tables(fps: DataFrame, masks: list[int]) -> DataFrame:
+def tables(fps: DataFrame, masks: list[int]) -> DataFrame:
     """Each fingerprint in each table: t, key, fp."""
     rows = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)])
     return fps.select("fp", F.inline(rows)).select("t", "key", "fp")
 
 
-def _grouped(rows: DataFrame, by: list[str]) -> DataFrame:
+def grouped(rows: DataFrame, by: list[str]) -> DataFrame:
     """The rows of buckets of two or more, with the bucket's size n. Sizes are pre-aggregated; no bucket is gathered."""
     sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return rows.join(sizes, by)
 
 
-def _pairs(rows: DataFrame, by: list[str], radius: int) -> DataFrame:
+def pairs(rows: DataFrame, by: list[str], radius: int) -> DataFrame:
     """Links a < b within the buckets of rows."""
     a, b = rows.select(*by, F.col("fp").alias("a")), rows.select(*by, F.col("fp").alias("b"))
     return a.join(b, by).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)).select("a", "b")
@@ -166,15 +167,15 @@ def links(fps: DataFrame, max_bucket: int = MAX_BUCKET, keep: Callable[[DataFram
     if max_bucket < MAX_BUCKET:
         raise ValueError(f"max_bucket is {MAX_BUCKET} at least, the most that the third covering can leave")
     masks, by = cover(list(range(64))), ["t", "key"]
-    rows = keep(_grouped(_tables(fps, masks), by))
-    out = _pairs(rows.where(F.col("n") <= max_bucket), by, RADIUS)
+    rows = keep(grouped(tables(fps, masks), by))
+    out = pairs(rows.where(F.col("n") <= max_bucket), by, RADIUS)
     while (hot := rows.where(F.col("n") > max_bucket)).take(1):
         deeper = [[mask | m for m in cover([b for b in range(64) if not mask >> b & 1])] for mask in masks]
         own = F.element_at(F.array(*[F.array(*[F.lit(_signed(m)) for m in group]) for group in deeper]), F.col("t") + 1)
         parts = F.transform(own, lambda m, i: F.struct((F.col("t") * 15 + i).alias("t"), F.col("fp").bitwiseAND(m).alias("key")))
-        rows = keep(_grouped(hot.select("fp", F.inline(parts)), by))
+        rows = keep(grouped(hot.select("fp", F.inline(parts)), by))
         masks = [m for group in deeper for m in group]
-        out = out.union(_pairs(rows.where(F.col("n") <= max_bucket), by, RADIUS))
+        out = out.union(pairs(rows.where(F.col("n") <= max_bucket), by, RADIUS))
     return out
 
 
