@@ -185,16 +185,16 @@ def _rows(sets: DataFrame) -> DataFrame:
 
 
 def _buckets(sets: DataFrame, labels: DataFrame) -> DataFrame:
-    """tok, sid, n, pos, held (sets in the bucket) and label (the component by covering, if any) of the prefix elements that several sets share. Sizes are pre-aggregated; no bucket is gathered."""
+    """tok, sid, n, pos, held (sets in the bucket) and label (the component by covering, if any) of the prefix elements that several sets share. Sizes are pre-aggregated; no bucket is gathered, and none of the exploded rows, which Spark sizes like the sets, is broadcast."""
     sizes = _rows(sets).groupBy("tok").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-    return _rows(sets).join(sizes, "tok").join(labels.withColumnRenamed("node", "sid"), "sid", "left")
+    return _rows(sets).join(sizes.hint("merge"), "tok").join(labels.withColumnRenamed("node", "sid"), "sid", "left")
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
     """The rows of buckets whose sets are not all of one component."""
     own = F.coalesce("label", "sid")
     several = rows.groupBy("tok").agg(F.min(own).alias("x"), F.max(own).alias("y")).where("x < y").select("tok")
-    return rows.join(several, "tok", "left_semi")
+    return rows.join(several.hint("merge"), "tok", "left_semi")
 
 
 def _apart(x: Column, y: Column) -> Column:
@@ -210,7 +210,7 @@ def _pairs(rows: DataFrame) -> DataFrame:
     fits = (x["tok"] == y["tok"]) & (F.col("a") < F.col("b")) & (9 * most >= 4 * (F.col("n_a") + F.col("n_b"))) & _apart(F.col("l_a"), F.col("l_b"))
     if "marks" in rows.columns:
         fits = fits & _near_marks(F.col("m_a"), F.col("m_b"), F.col("n_a") + F.col("n_b"))
-    return x.join(y, fits).select("a", "b").distinct()
+    return x.join(y.hint("merge"), fits).select("a", "b").distinct()
 
 
 def _possible(pairs: DataFrame, base: DataFrame, own: Scratch) -> DataFrame:

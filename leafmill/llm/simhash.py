@@ -151,15 +151,18 @@ def tables(fps: DataFrame, masks: list[int]) -> DataFrame:
 
 
 def grouped(rows: DataFrame, by: list[str]) -> DataFrame:
-    """The rows of buckets of two or more, with the bucket's size n. Sizes are pre-aggregated; no bucket is gathered."""
+    """The rows of buckets of two or more, with the bucket's size n. Sizes are pre-aggregated; no bucket is gathered.
+
+    Spark sizes exploded rows like those before, so a join without a hint would broadcast many times what it may.
+    """
     sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return rows.join(sizes, by)
+    return rows.join(sizes.hint("merge"), by)
 
 
 def pairs(rows: DataFrame, by: list[str], radius: int) -> DataFrame:
     """Links a < b within the buckets of rows."""
     a, b = rows.select(*by, F.col("fp").alias("a")), rows.select(*by, F.col("fp").alias("b"))
-    return a.join(b, by).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)).select("a", "b")
+    return a.join(b.hint("merge"), by).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)).select("a", "b")
 
 
 def links(fps: DataFrame, max_bucket: int = MAX_BUCKET, keep: Callable[[DataFrame], DataFrame] = materialize) -> DataFrame:

@@ -7,8 +7,9 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from leafmill.llm import simhash
+from leafmill.llm import copies, simhash
 
 
 def brute_fingerprint(text):
@@ -117,3 +118,16 @@ def test_long_chain_is_one_component(spark):
     edges = spark.createDataFrame(list(zip(nodes, nodes[1:])) + [(-5, -3), (-3, -4)], "a long, b long")
     got = {r.node: r.label for r in simhash.label_components(edges).collect()}
     assert got == {n: min(nodes) for n in nodes} | {n: -5 for n in (-5, -4, -3)}
+
+
+def test_exploded_rows_are_not_broadcast(spark):
+    """Spark sizes exploded rows like those before them, so under its threshold a join of them would broadcast many times as much."""
+    fps = spark.range(100).select(F.col("id").alias("fp"))
+    rows = simhash.grouped(simhash.tables(fps, simhash.cover(list(range(64)), 5)), ["t", "key"])
+    sets = spark.createDataFrame([(1, 2, [5, 6]), (2, 2, [5, 7])], "sid long, n long, first array<long>")
+    met = copies._buckets(sets, spark.createDataFrame([], "node long, label long"))
+    for df in (rows, simhash.pairs(rows, ["t", "key"], 5), copies._pairs(met.drop("label").withColumn("label", F.lit(None).cast("long")))):
+        joins = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x]
+        assert any("SortMergeJoin" in x for x in joins)
+        assert not [x for x in joins if "BroadcastHashJoin" in x and ("tok#" in x or "key#" in x)]
+    assert {(r.tok, r.sid) for r in met.collect()} == {(5, 1), (5, 2)}
