@@ -120,15 +120,27 @@ def struct_groups(words: DataFrame) -> DataFrame:
 
 
 def form_labels(leaves: DataFrame, widgets: DataFrame) -> DataFrame:
-    """doc_id, page_number, mcid and widget_id: the widget that each marked text labels. A text inside the widget's element is its label; else the text last before it in reading order, and of several widgets the nearest. leaves: mcid, elem_id, ancestor_ids, rank; widgets: widget_id, elem_id, rank."""
+    """doc_id, page_number, mcid and widget_id: the widget that each marked text labels. A text inside the widget's element is its label; else the text last before it in reading order, and of several widgets the nearest. leaves: mcid, elem_id, ancestor_ids, rank; widgets: widget_id, elem_id, rank.
+
+    No text meets every widget: ancestors are joined by their ids, the text before comes from one ordered pass over the page, and of the widgets of one element the best is found before its texts are joined.
+    """
+    own = F.struct("_way", "_far", "widget_id").alias("_own")
     w = widgets.select(*PAGE, "widget_id", F.col("elem_id").alias("_owner"), F.col("rank").alias("_rank"))
-    pairs = leaves.join(w, list(PAGE))
-    inside = pairs.where(F.array_contains("ancestor_ids", F.col("_owner"))).select(*PAGE, "mcid", "widget_id", F.lit(0).alias("_way"), F.lit(0).cast("long").alias("_far"))
-    others = w.join(inside.select(*PAGE, "widget_id").distinct(), [*PAGE, "widget_id"], "left_anti")
-    before = leaves.join(others, list(PAGE)).where(F.col("rank") < F.col("_rank"))
-    last = before.groupBy(*PAGE, "widget_id").agg(F.max_by(F.struct("elem_id", (F.col("_rank") - F.col("rank")).cast("long").alias("far")), "rank").alias("_l"))
-    near = last.select(*PAGE, "widget_id", F.col("_l.elem_id").alias("elem_id"), F.lit(1).alias("_way"), F.col("_l.far").alias("_far")).join(leaves.select(*PAGE, "elem_id", "mcid"), [*PAGE, "elem_id"]).select(*PAGE, "mcid", "widget_id", "_way", "_far")
-    return inside.unionByName(near).groupBy(*PAGE, "mcid").agg(F.min_by("widget_id", F.struct("_way", "_far", "widget_id")).alias("widget_id"))
+    above = leaves.select(*PAGE, "mcid", F.explode(F.array_distinct("ancestor_ids")).alias("_owner"))
+    held = w.join(above.select(*PAGE, "_owner").distinct(), [*PAGE, "_owner"], "left_semi")
+    inner = held.withColumns({"_way": F.lit(0), "_far": F.lit(0).cast("long")}).groupBy(*PAGE, "_owner").agg(F.min(own).alias("_own"))
+    inside = above.join(inner, [*PAGE, "_owner"]).select(*PAGE, "mcid", "_own")
+    others = w.join(held.select(*PAGE, "widget_id").distinct(), [*PAGE, "widget_id"], "left_anti")
+    text = F.struct("rank", "elem_id")
+    # Texts at a widget's own rank come after it, as they are not before it.
+    texts = leaves.where("rank IS NOT NULL").groupBy(*PAGE, "rank").agg(F.max(text).alias("_text")).select(*PAGE, F.col("rank").alias("_at"), F.lit(1).alias("_side"), "_text", F.lit(None).cast(w.schema["widget_id"].dataType).alias("widget_id"))
+    asked = others.where("_rank IS NOT NULL").select(*PAGE, F.col("_rank").alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(texts.schema["_text"].dataType).alias("_text"), "widget_id")
+    before = Window.partitionBy(*PAGE).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = texts.unionByName(asked).withColumn("_text", F.last("_text", ignorenulls=True).over(before)).where("_side = 0 AND _text IS NOT NULL")
+    last = placed.groupBy(*PAGE, "widget_id").agg(F.max(F.struct(F.col("_text.rank").alias("rank"), F.col("_text.elem_id").alias("elem_id"), (F.col("_at") - F.col("_text.rank")).cast("long").alias("far"))).alias("_l"))
+    near = last.select(*PAGE, "widget_id", F.col("_l.elem_id").alias("elem_id"), F.lit(1).alias("_way"), F.col("_l.far").alias("_far")).groupBy(*PAGE, "elem_id").agg(F.min(own).alias("_own"))
+    after = leaves.select(*PAGE, "elem_id", "mcid").join(near, [*PAGE, "elem_id"]).select(*PAGE, "mcid", "_own")
+    return inside.unionByName(after).groupBy(*PAGE, "mcid").agg(F.min("_own").alias("_own")).select(*PAGE, "mcid", F.col("_own.widget_id").alias("widget_id"))
 
 
 def renumbered(cells: DataFrame, key: str, order: list[str]) -> DataFrame:

@@ -77,3 +77,33 @@ def test_a_folder_of_files(spark, tmp_path):
     assert {"Head", "Title", "First", "Second"} <= texts
     chunks = got["chunks"].cache()
     assert chunks.select("doc_id").distinct().count() == 3 and chunks.where(F.col("text").contains("Page two link")).count() == 1
+
+
+def _labels_by_pairs(leaves, widgets):
+    """form_labels() by its definition, pair by pair."""
+    inside = [(m, 0, 0, w) for m, e, up, r in leaves for w, o, k in widgets if o in up]
+    others = [(w, k) for w, o, k in widgets if w not in {x[3] for x in inside}]
+    found = list(inside)
+    for w, k in others:
+        before = [(r, e) for m, e, up, r in leaves if r < k]
+        if before:
+            r, e = max(before)
+            found += [(m, 1, k - r, w) for m, own, up, _ in leaves if own == e]
+    return {m: min(x[1:] for x in found if x[0] == m)[2] for m in {x[0] for x in found}}
+
+
+def test_form_labels_against_all_pairs(spark):
+    import random
+
+    from leafmill.operators import layouts
+
+    rng = random.Random(7)
+    leaves = [(i, rng.randrange(12), [rng.randrange(40) for _ in range(rng.randrange(3))], r) for i, r in enumerate(rng.sample(range(200), 60))]
+    widgets = [(100 + i, rng.randrange(50), rng.randrange(200)) for i in range(20)]
+    texts = spark.createDataFrame([(1, 1, *x) for x in leaves], "doc_id long, page_number long, mcid long, elem_id long, ancestor_ids array<long>, rank long")
+    forms = spark.createDataFrame([(1, 1, *x) for x in widgets], "doc_id long, page_number long, widget_id long, elem_id long, rank long")
+    got = layouts.form_labels(texts, forms)
+    assert {r.mcid: r.widget_id for r in got.collect()} == _labels_by_pairs(leaves, widgets)
+    # Texts and widgets of a page never meet one by one.
+    joins = [x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x and "[doc_id#" in x]
+    assert joins and all(x.split("[", 1)[1].split("]")[0].count("#") > 2 for x in joins)
