@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -112,8 +113,14 @@ def lines(df: DataFrame) -> DataFrame:
     return out.withColumns({"font_size_ratio": F.col("font_size") / F.median("font_size").over(Window.partitionBy("doc_id")), "is_uppercase": F.coalesce(F.col("uppercase_count") / F.nullif(F.col("alpha_count"), F.lit(0)) > 0.9, F.lit(False)), "ord": ordered}).drop("_code", "_quote", "line_id")
 
 
+def written_title() -> Column:
+    """The title as the page has it, with the signs that markup needs decoded and all else (quotes, entities that are cut off) left as written; null without a title."""
+    raw = F.trim(F.try_element_at("meta", F.lit("title_written")))
+    return reduce(lambda t, pair: F.replace(t, F.lit(pair[0]), F.lit(pair[1])), (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")), raw)
+
+
 def metadata(parsed: DataFrame) -> DataFrame:
-    """doc_id, title, author, language, published, modified, generator, url of every page: linked data first, then meta elements, then the head."""
+    """doc_id, title, author, language, published, modified, generator, url and title_written of every page: linked data first, then meta elements, then the head."""
     m = lambda k: F.nullif(F.trim(F.try_element_at("meta", F.lit(k))), F.lit(""))
     first = lambda *keys: F.coalesce(*[m(k) for k in keys])
     return parsed.select(
@@ -125,4 +132,5 @@ def metadata(parsed: DataFrame) -> DataFrame:
         first("ld:modified", "article:modified_time").alias("modified"),
         first("generator").alias("generator"),
         first("canonical", "og:url").alias("url"),
+        written_title().alias("title_written"),
     )

@@ -140,3 +140,14 @@ def test_stream(spark, tmp_path):
     q = ingest.line_counts(read()).writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [(r.documents, r.lines) for r in spark.table("counts").collect()] == [(4, 5)]
+
+
+def test_titles_with_cut_entities(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    titles = ("A &amp; b &lt;c&gt; &amp", "Q &quot;x&quot; &quo", "R &amp;&amp;&amp;&am", "S &amp;lt;")
+    rows = [(i, f'<!DOCTYPE html><html lang="en"><head><title> {t}</title></head><body><p>x</p></body></html>') for i, t in enumerate(titles)]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = entry.queries()["page_metadata"](spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [r.title for r in got] == ["A & b <c> &amp", "Q &quot;x&quot; &quo", "R &&&&am", "S &lt;"]
+    assert [r.title for r in pages.metadata(pages.parse(spark.read.parquet(f"{tmp_path}/pages.parquet"))).orderBy("doc_id").collect()][:2] == ["A & b <c> &", 'Q "x" &quo']
