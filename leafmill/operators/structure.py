@@ -72,12 +72,15 @@ def toc_marks(df: DataFrame, most_chars: int = 250, most_cells: int = 5, most_he
     """toc_heading, toc_leaders and toc_type (kind of page label of a row of contents, else null) of every line."""
     t = tx.text("text")
     spaced = F.trim(F.regexp_replace(F.regexp_replace(F.replace(t, F.lit("|"), F.lit(" ")), LEADERS, f" {_LEADER} "), r"\s+", " "))
-    tokens = F.filter(F.split(spaced, " "), lambda x: x != "")
-    ok = (F.length(F.replace(spaced, F.lit(_LEADER), F.lit(""))) <= most_chars) & ~t.rlike("[$€£¥]") & ~_hidden() & (F.coalesce("cell_count", F.lit(0)) <= most_cells)
-    ends = F.array(F.get(tokens, F.lit(0)), F.element_at(tokens, -1))
-    cheap = ok & F.when(F.size(tokens) >= 2, F.exists(ends, lambda x: _label(x).isNotNull())).otherwise(False)
-    seen = F.transform(tokens, lambda x: F.struct(_label(x).alias("label"), (F.lower(x) != F.upper(x)).alias("word"), tx.is_numeric_value(x).alias("number")))
-    df = df.withColumn("_seen", F.when(cheap, seen))
+    # What several tests read is a column, which Spark makes once; as an expression it would be made anew for each of them. Lines that cannot be rows are not taken apart.
+    may = ~t.rlike("[$€£¥]") & ~_hidden() & (F.coalesce("cell_count", F.lit(0)) <= most_cells)
+    df = df.withColumn("_spaced", F.when(may, spaced))
+    short = F.length(F.replace("_spaced", F.lit(_LEADER), F.lit(""))) <= most_chars
+    df = df.withColumn("_tokens", F.when(short, F.filter(F.split("_spaced", " "), lambda x: x != ""))).drop("_spaced")
+    ends = F.array(F.get("_tokens", F.lit(0)), F.try_element_at("_tokens", F.lit(-1)))
+    df = df.withColumn("_cheap", F.when(F.size("_tokens") >= 2, F.exists(ends, lambda x: _label(x).isNotNull())).otherwise(False))
+    seen = F.transform("_tokens", lambda x: F.struct(_label(x).alias("label"), (F.lower(x) != F.upper(x)).alias("word"), tx.is_numeric_value(x).alias("number")))
+    df = df.withColumn("_seen", F.when(F.col("_cheap"), seen)).drop("_cheap", "_tokens")
     return df.withColumns({"toc_heading": t.rlike(_HEADING) & (F.length(t) <= most_heading) & ~_hidden(), "toc_leaders": t.rlike(LEADERS), "toc_type": F.when(F.col("_seen").isNotNull(), _row(F.col("table_id").isNotNull()))}).drop("_seen")
 
 
