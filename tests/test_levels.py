@@ -81,3 +81,17 @@ def test_text_metadata(spark):
     texts = spark.createDataFrame([(1, "T", "Mary", "en"), (3, "U", "123", None)], "doc_id long, title string, author string, language string")
     got = {r.doc_id: tuple(r)[1:] for r in metadata.consolidate(native, texts).collect()}
     assert got == {1: ("T", "Mary", "en"), 2: ("N", "Nina Vogel", "de"), 3: ("U", None, "unknown")}
+
+
+def test_checks_of_long_words_take_one_pass(spark):
+    """A word of 400,000 letters without an @ was read again from each of them."""
+    import time
+
+    from leafmill.operators import headings
+
+    rows = [("a" * 400_000,), ("Write to jo@x.org",), ("A @ b.org1",), ("Sum α ∑",), ("x = y α",), ("Part One",), ("é@é.de now",), ("@x.de",)]
+    df = spark.createDataFrame(rows, "text string").selectExpr("text", "CAST(NULL AS STRING) AS hierarchy_marker", "CAST(NULL AS STRING) AS block_type").coalesce(1)
+    began = time.time()
+    got = [r[0] for r in df.select(headings.may_be_heading()).collect()]
+    assert got == [True, False, True, False, False, True, False, True]
+    assert time.time() - began < 30
