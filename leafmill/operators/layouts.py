@@ -110,7 +110,8 @@ def repaired_tags(words: DataFrame, fields: tuple[str, ...] = TAG_FIELDS) -> Dat
 def struct_groups(words: DataFrame) -> DataFrame:
     """struct_group_id of words: by tag where pages have more than one, else by marked content, else by text object; numbered on the page in order of appearance."""
     page = Window.partitionBy(*PAGE)
-    several = lambda c: F.size(F.collect_set(c).over(page)) > 1
+    # The least and the largest tell as much as the set of all, which would be held and copied for each word.
+    several = lambda c: F.coalesce(F.min(c).over(page) < F.max(c).over(page), F.lit(False))
     keys = [F.when(several(c) & F.col(c).isNotNull(), F.concat(F.lit(f"{n}:"), F.col(c).cast("string"))) for n, c in enumerate(("struct_tag_id", "mcid", "text_object_id")) if c in words.columns]
     df = words.withColumn("_key", F.coalesce(*keys))
     since = F.min("word_id").over(Window.partitionBy(*PAGE, "_key"))

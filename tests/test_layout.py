@@ -107,3 +107,12 @@ def test_form_labels_against_all_pairs(spark):
     # Texts and widgets of a page never meet one by one.
     joins = [x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x and "[doc_id#" in x]
     assert joins and all(x.split("[", 1)[1].split("]")[0].count("#") > 2 for x in joins)
+
+
+def test_struct_groups_hold_no_set_for_each_word(spark):
+    from leafmill.operators import layouts
+
+    rows = [(1, 1, 1, 5, None), (1, 1, 2, None, 3), (1, 1, 3, 6, None), (1, 2, 4, 5, 1), (1, 2, 5, 5, 2), (1, 2, 6, None, None)]
+    got = layouts.struct_groups(spark.createDataFrame(rows, "doc_id long, page_number long, word_id long, struct_tag_id long, mcid long"))
+    assert [r.struct_group_id for r in got.orderBy("word_id").collect()] == [1, None, 2, 1, 2, None]
+    assert "collect_set" not in got._jdf.queryExecution().executedPlan().toString()
