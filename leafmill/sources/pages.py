@@ -27,25 +27,35 @@ FURNITURE_ROLES = ("navigation", "banner", "contentinfo", "search", "complementa
 FURNITURE_WORDS = ("ad", "ads", "advert", "advertisement", "banner", "breadcrumb", "breadcrumbs", "cookie", "comments", "footer", "menu", "modal", "nav", "navbar", "newsletter", "popup", "promo", "related", "share", "sidebar", "social", "sponsored", "subscribe", "widget")
 
 
+#: Characters of pages whose boxes a worker holds at once; a longer page is a batch of its own. Boxes take many times the room of their page.
+BATCH_CHARS = 1 << 20
+
+
+def parsed_batches(batches: Iterator[pa.RecordBatch], arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows, held = [], 0
+        for doc, source in zip(*batch.columns):
+            doc, source = doc.as_py(), source.as_py() or ""
+            try:
+                p = Boxes().finish(source)
+                rows.append({"doc_id": doc, "boxes": p.boxes, "cells": p.cells, "meta": list(p.meta.items()), "error": None})
+            except Exception as e:  # noqa: BLE001  a bad page is a row, not the end of the job
+                rows.append({"doc_id": doc, "boxes": [], "cells": [], "meta": [], "error": f"{type(e).__name__}: {e}"})
+            held += len(source)
+            if held >= BATCH_CHARS:
+                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+
+
 def parse(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """doc_id, boxes, cells, meta and error of every page. A page that cannot be read has its error and nothing else; no page stops the others."""
     schema = T._parse_datatype_string(PARSED)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for doc, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                try:
-                    p = Boxes().finish(source or "")
-                    rows.append({"doc_id": doc, "boxes": p.boxes, "cells": p.cells, "meta": list(p.meta.items()), "error": None})
-                except Exception as e:  # noqa: BLE001  a bad page is a row, not the end of the job
-                    rows.append({"doc_id": doc, "boxes": [], "cells": [], "meta": [], "error": f"{type(e).__name__}: {e}"})
-            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
-
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(schema)
-    return pages.select(F.col(key).cast("long").alias("doc_id"), F.col(html).alias("html")).mapInArrow(run, schema)
+    return pages.select(F.col(key).cast("long").alias("doc_id"), F.col(html).alias("html")).mapInArrow(lambda batches: parsed_batches(batches, arrow), schema)
 
 
 def boxes(parsed: DataFrame) -> DataFrame:

@@ -151,3 +151,15 @@ def test_titles_with_cut_entities(spark, tmp_path):
     got = entry.queries()["page_metadata"](spark, str(tmp_path)).orderBy("doc_id").collect()
     assert [r.title for r in got] == ["A & b <c> &amp", "Q &quot;x&quot; &quo", "R &&&&am", "S &lt;"]
     assert [r.title for r in pages.metadata(pages.parse(spark.read.parquet(f"{tmp_path}/pages.parquet"))).orderBy("doc_id").collect()][:2] == ["A & b <c> &", 'Q "x" &quo']
+
+
+def test_boxes_of_few_pages_are_held_at_once(spark):
+    import pyarrow as pa
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(T._parse_datatype_string(pages.PARSED))
+    page = "<p>some text</p>" * 20_000
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(12)), "html": [page] * 10 + [None, "<p>x</p>"]}, schema=pa.schema([("doc_id", pa.int64()), ("html", pa.string())]))
+    made = list(pages.parsed_batches(iter([batch]), arrow))
+    assert len(made) == 3 and [d for b in made for d in b.column(0).to_pylist()] == list(range(12))
