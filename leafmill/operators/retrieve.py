@@ -1,7 +1,6 @@
 """Queries over chunks and headings: search, snippets, outlines, sections, pages.
 
-Everything is keyed by document; a corpus of queries is a table too, so that searches are joins. Terms of chunks are aggregated
-before they meet query terms.
+Everything is keyed by document. Searches read texts once and score chunks where they are (postings); reading and outlines are joins.
 """
 
 from __future__ import annotations
@@ -12,9 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as tx
+from leafmill.operators import postings
 from leafmill.plans.staging import staged
 
-K1, B = 1.5, 0.4
 SNIPPET = 320
 SKIPPED_SECTIONS = ("toc", "header", "footer", "coverpage")
 #: Token bounds below which a document is served whole.
@@ -29,24 +28,17 @@ def term_counts(chunks: DataFrame, by: list[str]) -> DataFrame:
 def bm25(chunks: DataFrame, queries: DataFrame, corpus: list[str], key: str = "chunk_index") -> DataFrame:
     """query_id, corpus columns, key and score of each chunk that shares a term with a query.
 
-    corpus names the columns whose chunks are scored against each other: ["doc_id"] for one document, [] for all. Query terms are
-    few and picked first, so only their rows of the term table are joined.
+    corpus names the columns whose chunks are scored against each other: ["doc_id"] for one document, [] for all; key names one
+    chunk of its corpus. A chunk's terms stay together, so its scores are summed where it is and no pair travels.
     """
     by = [*corpus, key]
-    asked = staged(queries.select("query_id", F.explode(F.array_distinct(tx.search_terms("text"))).alias("term")))
-    lists = chunks.select(*by, tx.search_terms("text").alias("_t"))
-    stats = lists.groupBy(*corpus).agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("_t")).alias("avg_len"))
-    # A chunk's length goes along with its terms, so that no join brings it back.
-    terms = lists.select(*by, F.size("_t").alias("len"), F.explode("_t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    found = staged(terms.groupBy(*by, "len", "term").agg(F.count(F.lit(1)).alias("tf")))
-    df = found.groupBy(*corpus, "term").agg(F.count(F.lit(1)).alias("df"))
-    joined = found.join(df, [*corpus, "term"])
-    joined = joined.join(stats, corpus) if corpus else joined.crossJoin(F.broadcast(stats))  # one row
-    avg = F.when(F.col("avg_len") == 0, 1.0).otherwise(F.col("avg_len"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / avg))
-    weighed = joined.select(*by, "term", weight.alias("w"))
-    return weighed.join(asked, "term").groupBy("query_id", *by).agg(F.sum("w").alias("score"))
+    made = [postings.hits(chunks, asked, corpus, key, literal=False).select("query_id", *by, "score") for asked in postings.packs(queries, literal_pattern(F.col("text")))]
+    return reduce(DataFrame.unionByName, made) if made else _none(chunks, queries, by).select("query_id", *by, "score")
+
+
+def _none(chunks: DataFrame, queries: DataFrame, by: list[str]) -> DataFrame:
+    """No hit, in the form of hits."""
+    return queries.select("query_id").crossJoin(chunks.select(*by)).where(F.lit(False)).withColumns({"score": F.lit(0.0), "literal": F.lit(False), "_best": F.lit(0.0)})
 
 
 def literal_pattern(query: Column) -> Column:
@@ -72,9 +64,10 @@ def literal_hits(chunks: DataFrame, queries: DataFrame, corpus: list[str], key:
 def anchor(text: Column, query: Column) -> Column:
     """Where a snippet centres, from 0: the query as it stands, else its longest term that occurs."""
     at = F.regexp_instr(text, literal_pattern(query))
-    low = tx.folded(text)
     longest = F.array_sort(F.transform(F.array_distinct(tx.search_terms(query)), lambda t: F.struct((-F.length(t)).alias("l"), t.alias("t"))))
-    spots = F.filter(F.transform(longest, lambda t: F.instr(low, t["t"])), lambda p: p > 0)
+    # The folded text is an argument, so that it is made once and not for each term.
+    within = lambda low: F.filter(F.transform(longest, lambda t: F.instr(low, t["t"])), lambda p: p > 0)
+    spots = F.get(F.transform(F.array(tx.folded(text)), within), F.lit(0))
     return F.when(F.coalesce(at, F.lit(0)) > 0, at - 1).when(F.size(spots) > 0, F.get(spots, F.lit(0)) - 1).otherwise(0)
 
 
@@ -92,23 +85,28 @@ def snippet(text: Column, at: Column, width: int = SNIPPET) -> Column:
     return F.when(n <= width, tx.strip(text)).otherwise(cut)
 
 
-def search(chunks: DataFrame, queries: DataFrame, corpus: list[str], limit: int = 8, key: str = "chunk_index", heading: str | None = None) -> DataFrame:
-    """The best chunks of each query: literal matches first, then by score, then in order; one for each heading if it is named; limit of them, numbered by rank."""
+def search(chunks: DataFrame, queries: DataFrame, corpus: list[str], limit: int = 8, key: str = "chunk_index", heading: str | None = None, snippets: bool = True) -> DataFrame:
+    """The best chunks of each query: literal matches first, then by score, then in order; one for each heading if it is named; limit of them, numbered by rank, with a snippet unless told otherwise.
+
+    Each task keeps the best of its chunks, and only these meet; with a heading all hits do.
+    """
     if "section" in chunks.columns:
         chunks = chunks.where(~F.coalesce(F.col("section").isin(*SKIPPED_SECTIONS), F.lit(False)))
-    chunks = chunks.where(tx.strip("text") != "")
+    texts, chunks = chunks, chunks.where(F.col("text").rlike(r"(?U)\S"))
     by = ["query_id", *corpus, key]
-    scored = bm25(chunks, queries, corpus, key)
-    literal = literal_hits(chunks, queries, corpus, key).withColumn("literal", F.lit(True))
-    hits = scored.join(literal, by, "full").withColumns({"literal": F.coalesce("literal", F.lit(False)), "score": F.coalesce("score", F.lit(0.0))})
+    made = [postings.hits(chunks, asked, corpus, key, True, None if heading else limit) for asked in postings.packs(queries, literal_pattern(F.col("text")))]
+    hits = reduce(DataFrame.unionByName, made) if made else _none(chunks, queries, by[1:])
     # Sums differ in their last digits by the order of their terms; equal scores go by order.
-    best = [F.desc("literal"), F.desc(F.round("score", 9)), *corpus, key]
+    best = [F.desc("literal"), F.desc("_best"), *corpus, key]
     if heading:
         hits = hits.join(chunks.select(*corpus, key, heading), [*corpus, key])
         own = Window.partitionBy("query_id", *corpus, heading).orderBy(*best)
         hits = hits.withColumn("_k", F.row_number().over(own)).where("_k = 1").drop("_k")
-    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*best))).where(F.col("rank") <= limit)
-    shown = ranked.join(chunks.select(*corpus, key, "text"), [*corpus, key]).join(queries.select("query_id", F.col("text").alias("_query")), "query_id")
+    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*best))).where(F.col("rank") <= limit).drop("_best")
+    if not snippets:
+        return ranked
+    # Written, so that Spark knows how few they are when it plans how texts meet them.
+    shown = staged(ranked, "ranked").join(texts.select(*corpus, key, "text"), [*corpus, key]).join(queries.select("query_id", F.col("text").alias("_query")), "query_id")
     # The place is found once; a snippet refers to it many times.
     return shown.withColumn("_at", anchor(F.col("text"), F.col("_query"))).withColumn("snippet", snippet(F.col("text"), F.col("_at"))).drop("_query", "_at", "text")
 
