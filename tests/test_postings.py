@@ -68,6 +68,12 @@ def test_each_task_keeps_the_best_of_its_chunks(spark):
     assert [r.chunk_index for r in retrieve.search(df, asked, [], 3).orderBy("rank").collect()] == [1, 2, 3]
 
 
+def test_no_pair_of_scores_travels(spark):
+    df = spark.createDataFrame([(1, "cat dog"), (2, "dog")], "chunk_index long, text string")
+    made = retrieve.bm25(df, spark.createDataFrame([(1, "dog")], "query_id long, text string"), [])
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString() and made.count() == 2
+
+
 def test_no_query_gives_no_hit(spark):
     df = spark.createDataFrame([(1, "cat")], "chunk_index long, text string")
     none = spark.createDataFrame([(1, "..."), (2, None)], "query_id long, text string")
