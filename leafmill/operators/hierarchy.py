@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.operators.headings import NUMBERED
+from leafmill.operators.passes import per_document
 
 #: Kinds of heading by rank, the strongest first (fixed values). Those of rank 0 begin a new tree.
 RANKS = (
@@ -97,22 +97,24 @@ class _Walk:
         return next((i for i in range(len(self.path) - 1, -1, -1) if test(self.path[i])), None)
 
 
-_TREE = "doc_id long, heading_id long, parent_heading_id long, heading_level int"
+_TREE = "heading_id long, parent_heading_id long, heading_level int"
+_READ = ("heading_id", "heading_fp", "heading_type", "block_type", "section", "text", "static", "dynamic")
+
+
+def placed(rows: list[tuple]) -> list[tuple]:
+    """heading_id, parent and level of the headings of a document; rows are its heading lines in order, with what _READ names."""
+    own: dict[tuple, list[tuple]] = {}
+    for row in rows:
+        own.setdefault((row[5] or "", row[1]), []).append(row)
+    out, walks = [], {}
+    for (section, hid), lines in own.items():
+        first, _, fp, kind, block, _, text, static, dynamic = lines[0]
+        kind = kind or "free_form"
+        h = {"id": hid, "fp": fp, "kind": kind, "block": block, "static": static, "dynamic": dynamic, "depth": numeric_depth(text, kind), "first": first, "last": lines[-1][0]}
+        out.append((hid, *walks.setdefault(section, _Walk()).place(h)))
+    return out
 
 
 def tree(headings: DataFrame) -> DataFrame:
     """doc_id, heading_id, parent_heading_id and heading_level. headings are lines with heading_id, in order; a section has a tree of its own."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out, walks = [], {}
-        rows = rows.sort_values("ord")
-        for (section, hid), own in rows.groupby([rows["section"].fillna(""), "heading_id"], sort=False):
-            first = own.iloc[0]
-            kind = first["heading_type"] or "free_form"
-            h = {"id": int(hid), "fp": first["heading_fp"], "kind": kind, "block": first["block_type"], "static": float(first["static"]), "dynamic": float(first["dynamic"]), "depth": numeric_depth(first["text"], kind), "first": int(first["ord"]), "last": int(own["ord"].iloc[-1])}
-            parent, level = walks.setdefault(section, _Walk()).place(h)
-            out.append((int(first["doc_id"]), int(hid), parent, level))
-        return pd.DataFrame(out, columns=["doc_id", "heading_id", "parent_heading_id", "heading_level"]).astype({"parent_heading_id": "Int64"})
-
-    slim = with_weights(headings.where("heading_id IS NOT NULL")).select("doc_id", "ord", "heading_id", "heading_fp", "heading_type", "block_type", "section", "text", "static", "dynamic")
-    return slim.groupBy("doc_id").applyInPandas(run, _TREE)
+    return per_document(with_weights(headings.where("heading_id IS NOT NULL")), {c: F.col(c) for c in _READ}, _TREE, placed)

@@ -274,8 +274,8 @@ def mark_exhibits(df: DataFrame, most_plain: int = 5, most_lines: int = 10, tabl
 
 
 def marked(lines: DataFrame) -> DataFrame:
-    """lines with navigation, contents and exhibit lists marked, staged between the steps."""
-    return staged(mark_exhibits(staged(mark_toc(staged(mark_navigation(complete(lines)))))))
+    """lines with navigation, contents and exhibit lists marked, staged before and between the steps, as each reads its lines twice."""
+    return staged(mark_exhibits(staged(mark_toc(staged(mark_navigation(staged(complete(lines))))))))
 
 
 # Sections of paged documents.
