@@ -110,3 +110,18 @@ def test_fragments(spark):
     df = spark.createDataFrame(rows, "k long, ord long, text string")
     assert blocks.join_fragments(df, ["k"], dehyphenate=True, bullet_sep="\n").first().text == "inter-national[^1]\n▪ x - y"
     assert blocks.join_table_row(df, ["k"]).first().text == "inter- | national | [^1] | ▪ x | - | y"
+
+
+def test_texts_move_once_for_merges(spark):
+    """Joins and windows of the plan carry numbers; texts are dealt by document once."""
+    df = spark.range(1, 5).selectExpr("1L AS doc_id", "id AS chunk_index", "id AS heading_id", "IF(id > 1, 1L, NULL) AS parent_heading_id", "'h' AS chunk_heading", "concat('some text', id % 1) AS text", "100L AS embed_char_count", "25L AS token_count", "array('t') AS table_ids", "false AS contains_table")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = chunks.merged(chunks.merge_plan(df.repartition(2)))
+        plan = spark._jvm.PythonSQLUtils.explainString(made._jdf.queryExecution(), "formatted")
+        got = [(r.chunk_index, r.merge_mode, r.text) for r in made.collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    moves = [b for b in plan.split("\n\n") if "Exchange" in b.split("\n")[0] and "hashpartitioning" in b and ("text#" in b or "buf#" in b)]
+    assert len(moves) == 1 and got == [(1, "parent_plus_children", "\n\n".join(["some text0"] * 4))]
