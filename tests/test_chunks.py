@@ -125,3 +125,12 @@ def test_texts_move_once_for_merges(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
     moves = [b for b in plan.split("\n\n") if "Exchange" in b.split("\n")[0] and "hashpartitioning" in b and ("text#" in b or "buf#" in b)]
     assert len(moves) == 1 and got == [(1, "parent_plus_children", "\n\n".join(["some text0"] * 4))]
+
+
+def test_chunks_without_parents_are_the_same(spark):
+    """Without parent_chunk_id nothing joins texts after they are cut, and all else stays."""
+    rows = doc(("heading", "T", 1, None, 1), ("paragraph", "x " * 2000, None, None, None), ("heading", "U", 2, 1, 2), ("paragraph", "y " * 900, None, None, None))
+    df = spark.createDataFrame(rows, BLOCK)
+    slim = chunks.build(df, parents=False)
+    assert sorted(map(str, slim.select("doc_id", "chunk_index", "chunk_id", "text").collect())) == sorted(map(str, chunks.build(df).select("doc_id", "chunk_index", "chunk_id", "text").collect()))
+    assert "parent_chunk_id" not in slim.columns
