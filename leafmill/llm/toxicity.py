@@ -20,15 +20,16 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm import boost
 from leafmill.llm.bytewords import ALNUM, LOWER, Words, raw, words
-from leafmill.llm.common import held_out, materialize, per_slice, settle, text_slices
+from leafmill.llm.common import bounded_batches, held_out, per_slice, settle, text_slices
 
 MAX_TRAIN_DOCS = 24_000
 #: What sets a word of the lexicon apart: log-odds over their deviation, log-odds, and toxic documents that hold it.
@@ -141,12 +142,12 @@ class Model:
 
 
 def _document_counts(sample: DataFrame) -> DataFrame:
-    """word, half, toxic, n: in how many documents of each half of sample each word stands; counts are summed in the worker before they are shuffled."""
+    """word and n_HALF_TOXIC: in how many documents of each half and label of sample each word stands; counts are summed in the worker before they are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kind = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-            counts: Counter[tuple[str, tuple[int, int]]] = Counter()
+            counts: Counter[tuple[bytes, tuple[int, int]]] = Counter()
             for first, strings in text_slices(batch.column(2)):
                 w = words(strings, ALNUM)
                 data, owner = w.low.tobytes(), w.owner().tolist()
@@ -157,24 +158,43 @@ def _document_counts(sample: DataFrame) -> DataFrame:
                 columns = [pa.array([k[0].decode() for k in counts]), *[pa.array([k[1][i] for k in counts], pa.int32()) for i in (0, 1)], pa.array(list(counts.values()), pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["word", "half", "toxic", "n"])
 
-    return sample.select("half", "toxic", "text").mapInArrow(run, "word string, half int, toxic int, n long").groupBy("word", "half", "toxic").agg(F.sum("n").alias("n"))
+    n = lambda h, k: F.sum(F.when((F.col("half") == h) & (F.col("toxic") == k), F.col("n")).otherwise(0)).alias(f"n_{h}_{k}")
+    return sample.select("half", "toxic", "text").mapInArrow(run, "word string, half int, toxic int, n long").groupBy("word").agg(*[n(h, k) for h in (0, 1) for k in (0, 1)])
+
+
+def _learn_lexicons(counts: DataFrame, sizes: dict[tuple[int, int], int], wanted: list[tuple[int, ...]], least_z: float) -> list[Lexicon]:
+    """For each of the wanted halves, words whose share among their toxic documents exceeds that among the others by far, by the log-odds over their deviation. All come from one pass; only words of a lexicon reach the driver."""
+    columns = {}
+    for i, halves in enumerate(wanted):
+        bad, good = (sum(sizes.get((h, k), 0) for h in halves) for k in (1, 0))
+        if not bad or not good:
+            continue
+        b, g = (reduce(Column.__add__, [F.col(f"n_{h}_{k}") for h in halves]) for k in (1, 0))
+        odds = F.log((b + 0.5) / (bad - b + 0.5)) - F.log((g + 0.5) / (good - g + 0.5))
+        spread = F.sqrt(1 / (b + 0.5) + 1 / (g + 0.5))
+        columns[i] = F.when((b >= LEAST_DOCS) & (odds / spread > least_z) & (odds > LEAST_ODDS), odds).alias(f"w{i}")
+    if not columns:
+        return [Lexicon([], []) for _ in wanted]
+    top = counts.select("word", *columns.values()).where(F.coalesce(*[F.col(f"w{i}") for i in columns]).isNotNull())
+    rows = sorted(top.collect(), key=lambda r: r.word)
+    held = [[r for r in rows if i in columns and r[f"w{i}"] is not None] for i in range(len(wanted))]
+    return [Lexicon([r.word for r in own], [float(r[f"w{i}"]) for r in own]) for i, own in enumerate(held)]
 
 
-def _learn_lexicon(counts: DataFrame, sizes: dict[tuple[int, int], int], halves: tuple[int, ...], least_z: float) -> Lexicon:
-    """Words whose share among the halves' toxic documents exceeds that among the others by far, by the log-odds over their deviation."""
-    bad, good = (sum(sizes.get((h, k), 0) for h in halves) for k in (1, 0))
-    if not bad or not good:
-        return Lexicon([], [])
-    n = lambda k: F.sum(F.when(F.col("toxic") == k, F.col("n")).otherwise(0))
-    both = counts.where(F.col("half").isin(*halves)).groupBy("word").agg(n(1).alias("b"), n(0).alias("g"))
-    odds = F.log((F.col("b") + 0.5) / (bad - F.col("b") + 0.5)) - F.log((F.col("g") + 0.5) / (good - F.col("g") + 0.5))
-    spread = F.sqrt(1 / (F.col("b") + 0.5) + 1 / (F.col("g") + 0.5))
-    top = both.where(F.col("b") >= LEAST_DOCS).select("word", odds.alias("w"), (odds / spread).alias("z")).where((F.col("z") > least_z) & (F.col("w") > LEAST_ODDS))
-    rows = sorted(top.collect(), key=lambda r: r.word)
-    return Lexicon([r.word for r in rows], [float(r.w) for r in rows])
+def _crossed_features(strings: pa.Array, half: np.ndarray, lexicons: list[Lexicon]) -> np.ndarray:
+    """Each text's features by the lexicon of its half."""
+    out = np.zeros((len(strings), FEATURES))
+    for h, lexicon in enumerate(lexicons):
+        own = np.flatnonzero(half == h)
+        if len(own):
+            out[own] = features(strings.take(pa.array(own)), lexicon)
+    return out
 
 
 def fit(documents: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, least_z: float = LEAST_Z) -> Model:
+    """Nothing is staged: what is picked and learned is small by its bound, and a written file costs an executor more than it holds."""
+    spark = documents.sparkSession
+    bounded_batches(spark)
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     usable = usable.groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).cast("int").alias("toxic"))
     order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
@@ -183,23 +203,21 @@ def fit(documents: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS,
         usable = usable.where(order < int((1 << 40) * max_docs / n))
     # About max_docs rows of 16 bytes: small by its bound, and so the whole texts are not shuffled.
     draw = lambda name, k: F.pmod(F.xxhash64("doc_id", F.lit(name)), F.lit(k)).cast("int")
-    picked = F.broadcast(materialize(usable.select("doc_id", "toxic", draw("half", 2).alias("half"), draw("part", 4).alias("part"))))
+    picked = usable.select("doc_id", "toxic", draw("half", 2).alias("half"), draw("part", 4).alias("part"))
+    picked = F.broadcast(spark.createDataFrame(picked.toArrow(), picked.schema))
     train = documents.select("doc_id", "text").join(picked, "doc_id").select("doc_id", "toxic", "half", "part", "text")
-    counts = materialize(_document_counts(train))
     sizes = {(r[0], r[1]): r[2] for r in train.groupBy("half", "toxic").count().collect()}
     # Each half's features come from the other half's lexicon, as those of unseen documents come from words learned elsewhere.
-    crossed = documents.sparkSession.sparkContext.broadcast([_learn_lexicon(counts, sizes, (1 - h,), least_z) for h in (0, 1)])
-
-    def featured(half: int) -> list:
-        rows = train.where(F.col("half") == half)
-        made = per_slice(rows, "text", ["doc_id", "toxic", "part"], "x array<double>", lambda s: [pa.array(list(features(s, crossed.value[half])), pa.list_(pa.float64()))])
-        # One row for each document of the sample, however often it is repeated.
-        return made.groupBy("doc_id", "toxic", "part").agg(F.min("x").alias("x")).collect()
-
-    rows = sorted(featured(0) + featured(1), key=lambda r: (r.doc_id, r.x))
+    *others, whole = _learn_lexicons(_document_counts(train), sizes, [(1,), (0,), (0, 1)], least_z)
+    crossed = spark.sparkContext.broadcast(others)
+    work = lambda s, half: [pa.array(list(_crossed_features(s, half.to_numpy(zero_copy_only=False), crossed.value)), pa.list_(pa.float64()))]
+    made = per_slice(train, "text", ["doc_id", "toxic", "part", "half"], "x array<double>", work, beside="half")
+    # One row for each document of the sample, however often it is repeated.
+    rows = made.groupBy("doc_id", "toxic", "part").agg(F.min("x").alias("x")).collect()
+    rows.sort(key=lambda r: (r.doc_id, r.x))
     x = np.array([r.x for r in rows], dtype=float).reshape(len(rows), FEATURES)
     y, cal = np.array([r.toxic for r in rows], dtype=float), np.array([r.part == 0 for r in rows], dtype=bool)
-    return Model(_learn_lexicon(counts, sizes, (0, 1), least_z), boost.fit(x[~cal], y[~cal], x[cal], y[cal]))
+    return Model(whole, boost.fit(x[~cal], y[~cal], x[cal], y[cal]))
 
 
 def score(documents: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
